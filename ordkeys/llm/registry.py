@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from ordkeys.llm import mixing, sharding
+from ordkeys.llm import decontam, mixing, rules, sharding
 
 
 def queries():
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
         "op4_shard": sharding.op4_shard,
+        "op8_quality_rules": rules.op8_quality_rules,
+        "op9_decontaminate": decontam.op9_decontaminate,
     }
 
 
 def oracle_sql():
-    return {"op1_mix_sources": mixing.SQL}
+    return {
+        "op1_mix_sources": mixing.SQL,
+        "op9_decontaminate": decontam.SQL,
+    }
