@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ordkeys.llm import decontam, mixing, rules, sharding
+from ordkeys.llm import decontam, mixing, rules, sharding, tokens
 
 
 def queries():
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
         "op4_shard": sharding.op4_shard,
+        "op6_token_counts": tokens.op6_token_counts,
         "op8_quality_rules": rules.op8_quality_rules,
         "op9_decontaminate": decontam.op9_decontaminate,
     }
