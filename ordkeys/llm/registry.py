@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ordkeys.llm import decontam, mixing, rules, sharding, tokens
+from ordkeys.llm import decontam, mixing, rules, sharding, tokens, warc
 
 
 def queries():
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op3_warc_transactions": warc.op3_warc_transactions,
         "op4_shard": sharding.op4_shard,
         "op6_token_counts": tokens.op6_token_counts,
         "op8_quality_rules": rules.op8_quality_rules,
@@ -18,5 +19,6 @@ def queries():
 def oracle_sql():
     return {
         "op1_mix_sources": mixing.SQL,
+        "op3_warc_transactions": warc.SQL,
         "op9_decontaminate": decontam.SQL,
     }
