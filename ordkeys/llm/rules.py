@@ -49,12 +49,13 @@ def fit_llr(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, smoo
     docs: doc_id, text. trusted: doc_id. All documents and all their n-grams count.
     Without any n-gram of a trusted document all weights are 0.
 
-    The join with trusted is by doc_id; counts are pre-aggregated in each task to at
+    The join with trusted is by doc_id, always by sort and merge: the labels grow with
+    the corpus and are never broadcast. Counts are pre-aggregated in each task to at
     most 2 * buckets rows before they are shuffled.
     """
     marks = trusted.select(F.col("doc_id")).dropna().distinct().withColumn("trusted", F.lit(True))
     grams = (
-        docs.select("doc_id", "text").join(marks, "doc_id", "left")
+        docs.select("doc_id", "text").join(marks.hint("merge"), "doc_id", "left")
         .select(F.col("trusted").isNotNull().alias("t"), F.explode(let(words(F.col("text")), lambda w: ngram_buckets(w, buckets))).alias("bucket"))
     )
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count(F.when(F.col("t"), 1)).alias("target"))
