@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ordkeys.llm import decontam, mixing, rules, sharding, tokens, warc
+from ordkeys.llm import decontam, mixing, quality, rules, sharding, tokens, warc
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op3_warc_transactions": warc.op3_warc_transactions,
         "op4_shard": sharding.op4_shard,
         "op6_token_counts": tokens.op6_token_counts,
+        "op7_quality_classifier": quality.op7_quality_classifier,
         "op8_quality_rules": rules.op8_quality_rules,
         "op9_decontaminate": decontam.op9_decontaminate,
     }
