@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ordkeys.llm import decontam, mixing, quality, rules, sharding, tokens, warc
+from ordkeys.llm import decontam, mixing, neardup, quality, rules, sharding, tokens, warc
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op7_quality_classifier": quality.op7_quality_classifier,
         "op8_quality_rules": rules.op8_quality_rules,
         "op9_decontaminate": decontam.op9_decontaminate,
+        "op10_near_duplicates": neardup.op10_near_duplicates,
     }
 
 
@@ -22,4 +23,5 @@ def oracle_sql():
         "op1_mix_sources": mixing.SQL,
         "op3_warc_transactions": warc.SQL,
         "op9_decontaminate": decontam.SQL,
+        "op10_near_duplicates": neardup.SQL,
     }
