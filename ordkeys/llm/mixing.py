@@ -116,37 +116,34 @@ def mix_sources(
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as the mix takes it.
+def mixed_documents(docs: DataFrame, *, seed: str = "mix", **options) -> DataFrame:
+    """The mix itself: every document as often as the mix takes it, with the columns of docs.
 
-    A document of which the mix takes k whole epochs comes k times; the one at a
-    source's cut comes once more if at least half of its words are taken. Columns
-    are those of docs. Documents without words have nothing to weigh; they stay once.
+    A source's budget gives each of its documents whole epochs, and one more to those
+    whose keys come before the cut. The document at the cut comes once more if at
+    least half of its words are taken; rows that share its key do as it does.
+    Documents without words weigh nothing; they stay once.
+
+    Key and cut decide, so the texts are joined with one row per source only and
+    aren't shuffled while Spark finds that table small enough to broadcast.
     """
-    taken = mix_sources(docs, **options)
-    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).cast("int")
-    # rows that are equal in id, source and size stand for each other: their times are summed and dealt back by rank
-    wanted = (
-        taken.select("doc_id", "source", "size", times.alias("times"))
-        .groupBy("doc_id", "source", "size").agg(F.sum("times").alias("times"), F.count("*").alias("copies"))
-    )
-    sized = docs.select("*", n_words(F.col("text")).alias("__size"))
-    same = (
-        F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & F.col("d.source").eqNullSafe(F.col("w.source")) & (F.col("d.__size") == F.col("w.size"))
-    )
-    key = Window.partitionBy("doc_id", "source", "__size").orderBy("text")
-    single = sized.alias("d").join(wanted.filter("copies = 1 and times > 0").alias("w"), same).select("d.*", F.col("w.times").alias("__times"))
-    several = (
-        sized.alias("d").join(wanted.filter("copies > 1 and times > 0").alias("w"), same)
-        .select("d.*", F.col("w.times").alias("__all"), F.col("w.copies").alias("__copies"))
-        .withColumn("__rank", F.row_number().over(key))
-        .withColumn("__times", F.floor(F.col("__all") / F.col("__copies")) + (F.col("__rank") <= F.col("__all") % F.col("__copies")).cast("long"))
-        .filter("__times > 0")
-        .drop("__all", "__copies", "__rank")
-    )
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    taken = mix_sources(docs, seed=seed, **options).filter("size > 0")
+    epochs = F.floor(F.floor("target") / F.col("source_size")).cast("long")
+    more = F.col("taken") - F.col("epochs") * F.col("size")
+    cuts = materialize(
+        taken.withColumn("epochs", epochs).withColumn("more", more).withColumn("key", key)
+        .groupBy("source", "epochs")
+        .agg(F.max(F.when(F.col("more") > 0, F.struct("key", (2 * F.col("more") >= F.col("size")).alias("counts")))).alias("cut")),
+        "mix-cuts",
+    ).withColumnRenamed("source", "__source").withColumnRenamed("epochs", "__epochs").withColumnRenamed("cut", "__cut")
+    extra = F.when(key < F.col("__cut.key"), 1).when(key == F.col("__cut.key"), F.col("__cut.counts").cast("int")).otherwise(0)
+    times = F.when(n_words(F.col("text")) == 0, 1).otherwise(F.col("__epochs") + extra).cast("int")
     return (
-        single.unionByName(several)
-        .withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
+        docs.join(cuts, F.col("source").eqNullSafe(F.col("__source")), "left")
+        .withColumn("__times", F.coalesce(times, F.lit(1)))
+        .filter("__times > 0")
+        .withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__times"))))
         .select(*docs.columns)
     )
 
