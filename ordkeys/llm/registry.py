@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ordkeys.llm import decontam, mixing, neardup, quality, rules, sharding, tokens, warc
+from ordkeys.llm import decontam, mixing, neardup, quality, recurrent, rules, sharding, tokens, warc
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_mix_sources": mixing.op1_mix_sources,
         "op3_warc_transactions": warc.op3_warc_transactions,
         "op4_shard": sharding.op4_shard,
+        "op5_recurrent_lm": recurrent.op5_recurrent_lm,
         "op6_token_counts": tokens.op6_token_counts,
         "op7_quality_classifier": quality.op7_quality_classifier,
         "op8_quality_rules": rules.op8_quality_rules,
