@@ -4,16 +4,19 @@ A capture gives three records: request, response (or revisit), metadata. Request
 metadata name the response in WARC-Concurrent-To; assembly joins the three through it
 into one nested row.
 
-Archives are plain WARC/1.1 files written by Spark's text sink, with the blank lines
+Archives are gzipped WARC/1.1 files written by Spark's text sink, with the blank lines
 that end a record as its line separator. So they go wherever Spark can write.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -130,30 +133,34 @@ def write_archives(captures: DataFrame, path: str, *, min_revisit_bytes: int = M
     (
         records(captures, min_revisit_bytes=min_revisit_bytes)
         .select(F.explode("records").alias("value"))
-        .write.option("lineSep", RECORD_END).option("maxRecordsPerFile", file_records).text(path)
+        .write.option("lineSep", RECORD_END).option("maxRecordsPerFile", file_records).option("compression", "gzip").text(path)
     )
 
 
-def parse_records(whole: bytes) -> Iterator[dict]:
-    """The records of one archive. Content-Length alone decides where a block ends, so a payload may hold anything."""
-    at = 0
-    while at < len(whole):
-        if whole.startswith(b"\r\n", at):
-            at += 2
+def open_archive(content: bytes) -> BinaryIO:
+    """A stream over an archive; gzip, of one member or one a record, is undone as it is read."""
+    plain = io.BytesIO(content)
+    return gzip.GzipFile(fileobj=plain) if content.startswith(b"\x1f\x8b") else plain
+
+
+def parse_records(archive: BinaryIO) -> Iterator[dict]:
+    """The records of one archive, one after the other. Content-Length alone decides where a block ends, so a payload may hold anything."""
+    while line := archive.readline():
+        if line == b"\r\n":
             continue
-        stop = whole.find(b"\r\n\r\n", at)
-        if not whole.startswith(b"WARC/", at) or stop < 0:
-            raise ValueError(f"no WARC record at byte {at}")
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record: {line[:40]!r}")
         fields = {}
-        for line in whole[at:stop].split(b"\r\n")[1:]:
+        while (line := archive.readline()) != b"\r\n":
+            if not line:
+                raise ValueError("a record's fields are cut off")
             name, _, value = line.partition(b":")
             fields[name.decode().lower()] = value.strip().decode("utf-8", "replace")
-        start = stop + 4
-        end = start + int(fields["content-length"])
-        if end > len(whole):
-            raise ValueError(f"the record at byte {at} is cut off")
-        yield {"fields": fields, "block": whole[start:end]}
-        at = end
+        length = int(fields["content-length"])
+        block = archive.read(length)
+        if len(block) < length:
+            raise ValueError(f"{fields.get('warc-record-id')}: the block is cut off")
+        yield {"fields": fields, "block": block}
 
 
 def _row(record: dict) -> dict:
@@ -200,7 +207,7 @@ def read_archives(spark: SparkSession, path: str, *, payloads: bool = True) -> D
         for batch in batches:
             for content in batch.column("content"):
                 rows, held = [], 0
-                for record in parse_records(content.as_py()):
+                for record in parse_records(open_archive(content.as_py())):
                     row = _row(record)
                     row["payload"] = row["payload"] if payloads else None
                     row["fields"] = list(row["fields"].items())
