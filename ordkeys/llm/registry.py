@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ordkeys.llm import decontam, mixing, neardup, quality, recurrent, rules, sharding, tokens, warc
+from ordkeys.llm import chat, decontam, mixing, neardup, quality, recurrent, rules, sharding, tokens, warc
 
 
 def queries():
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_chat_perspectives": chat.op2_chat_perspectives,
         "op3_warc_transactions": warc.op3_warc_transactions,
         "op4_shard": sharding.op4_shard,
         "op5_recurrent_lm": recurrent.op5_recurrent_lm,
@@ -22,6 +23,7 @@ def queries():
 def oracle_sql():
     return {
         "op1_mix_sources": mixing.SQL,
+        "op2_chat_perspectives": chat.SQL,
         "op3_warc_transactions": warc.SQL,
         "op9_decontaminate": decontam.SQL,
         "op10_near_duplicates": neardup.SQL,
