@@ -352,12 +352,12 @@ def key_encodings(spark, d):
 
 
 @_query("""WITH k AS (SELECT DISTINCT p_name AS k FROM part), a AS (SELECT k, lag(k) OVER (ORDER BY k) AS b FROM k)
-SELECT hex(encode(k)) AS key, (SELECT max(i) FROM range(0, least(length(k), length(b)) + 1) t(i) WHERE left(k, i) = left(b, i))::INT AS lcp FROM a""")
+SELECT hex(encode(k)) AS key, coalesce((SELECT max(i) FROM range(0, least(length(k), length(b)) + 1) t(i) WHERE left(k, i) = left(b, i)), 0)::INT AS lcp FROM a""")
 def neighbour_lcp(spark, d):
     from pyspark.sql import Window
 
     keys = _names(spark, d).df.withColumn("before", F.lag("key").over(Window.partitionBy().orderBy("key")))
-    return keys.select(_hex("key"), B.common_prefix_length(F.col("key"), F.col("before")).alias("lcp"))
+    return keys.select(_hex("key"), F.coalesce(B.common_prefix_length(F.col("key"), F.col("before")), F.lit(0)).alias("lcp"))
 
 
 @_query()
