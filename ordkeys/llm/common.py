@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ordkeys.functions.storage import materialize, new_path  # noqa: F401
+
 #: A word: a run of characters other than the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,29 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one below the warehouse where it is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return place.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
-
-    What follows doesn't recompute it when an executor is lost, and the planner
-    knows its size, so that it is broadcast only below Spark's threshold.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """The words of a text; an empty array for null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
@@ -53,7 +30,3 @@ def n_words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once a row, also where body uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
-    return (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
