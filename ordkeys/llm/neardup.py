@@ -4,15 +4,16 @@
    digest of the set, MinHash samples folded into band keys, and an odd sketch: the
    parity bitmap of the samples, whose XOR with another's counts how far two sets are.
 2. Documents with equal sets form a class; the rest works on classes.
-3. Within each bucket of a band, members are held against the bucket's smallest class
-   only; the best such partner of each class is confirmed on full sets. Connected
-   classes get a label.
-4. Where a bucket still holds several labels, one class per label, then all classes
-   of different labels are held against each other. Odd sketches discard pairs that
-   are surely too far; the rest is confirmed on full sets.
-
-So a group of copies costs one confirmed pair per class, not one per pair, and a
-bucket's members are compared all with all only where they aren't connected yet.
+3. Within each bucket of a band, members are held against the bucket's most central
+   class only, the one that shares buckets with most others; of each class the leader
+   that it shares most bands with is confirmed on full sets. Linked classes get a label.
+4. Where a bucket still holds several labels, its classes get wider odd sketches. Each
+   class's nearest one of another label is confirmed, then all pairs of different
+   labels that the sketches don't tell apart for sure.
+
+So a group of copies costs one confirmed pair per class, not one per pair. Sketches
+are compared all with all only between labels, and large buckets are cut into slices
+for it, so that a task holds two slices at a time.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ BANDS, ROWS = 40, 5
 BITS = 512
 #: Standard deviations by which a sketch's distance may exceed what is expected at the threshold.
 MARGIN = 5.0
+#: Samples and bits of the wider sketches, and their margin.
+WIDE_SAMPLES, WIDE_BITS, WIDE_MARGIN = 1024, 2048, 4.0
+#: Classes of a bucket that are compared at a time.
+SLICE = 2_048
 #: Bits of the filter that keeps texts without candidates out of the shuffle; it only saves work.
 FILTER_BITS = 1 << 22
 
@@ -55,8 +60,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 _POWER = [np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64)) for j in range(SHINGLE)]
 _draws = np.random.default_rng(23)
-_A = _draws.integers(0, 1 << 31, _K, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _draws.integers(0, 1 << 32, _K, dtype=np.uint32)
+_A = _draws.integers(0, 1 << 31, max(_K, WIDE_SAMPLES), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _draws.integers(0, 1 << 32, max(_K, WIDE_SAMPLES), dtype=np.uint32)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -72,13 +77,14 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def samples(sets: list[np.ndarray]) -> np.ndarray:
-    """MinHash samples of non-empty sets, a row each."""
-    out = np.empty((len(sets), _K), np.uint32)
+def samples(sets: list[np.ndarray], k: int = _K) -> np.ndarray:
+    """k MinHash samples of each of the non-empty sets, a row each."""
+    out = np.empty((len(sets), k), np.uint32)
+    a, b, block = _A[:k, None], _B[:k, None], max(1, _BLOCK * _K // k)
     i = 0
     while i < len(sets):
         j, held = i + 1, len(sets[i])
-        while j < len(sets) and held + len(sets[j]) <= _BLOCK:
+        while j < len(sets) and held + len(sets[j]) <= block:
             held += len(sets[j])
             j += 1
         least = None
@@ -86,11 +92,11 @@ def samples(sets: list[np.ndarray]) -> np.ndarray:
         starts = np.cumsum([0, *map(len, sets[i : j - 1])])
         if j - i > 1:
             x = (flat >> np.uint64(32)).astype(np.uint32)
-            least = np.minimum.reduceat(_A[:, None] * x[None, :] + _B[:, None], starts, axis=1)
+            least = np.minimum.reduceat(a * x[None, :] + b, starts, axis=1)
         else:
-            for k in range(0, len(flat), _BLOCK):
-                x = (flat[k : k + _BLOCK] >> np.uint64(32)).astype(np.uint32)
-                part = (_A[:, None] * x[None, :] + _B[:, None]).min(axis=1, keepdims=True)
+            for at in range(0, len(flat), block):
+                x = (flat[at : at + block] >> np.uint64(32)).astype(np.uint32)
+                part = (a * x[None, :] + b).min(axis=1, keepdims=True)
                 least = part if least is None else np.minimum(least, part)
         out[i:j] = least.T
         i = j
@@ -106,23 +112,21 @@ def band_keys(sample: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketches(sample: np.ndarray) -> np.ndarray:
-    """Parity bitmaps of the (place, sample) pairs: BITS / 64 numbers a row."""
-    place = np.arange(_K, dtype=np.uint64)[None, :] << np.uint64(32)
-    bit = (_mix(place | sample.astype(np.uint64)) % np.uint64(BITS)).astype(np.int64)
-    at = bit + np.arange(len(sample), dtype=np.int64)[:, None] * BITS
-    odd = (np.bincount(at.ravel(), minlength=len(sample) * BITS) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(len(sample), BITS), axis=1, bitorder="little").view(np.int64)
+def odd_sketches(sample: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Parity bitmaps of the (place, sample) pairs: bits / 64 numbers a row."""
+    place = np.arange(sample.shape[1], dtype=np.uint64)[None, :] << np.uint64(32)
+    bit = (_mix(place | sample.astype(np.uint64)) % np.uint64(bits)).astype(np.int64)
+    at = bit + np.arange(len(sample), dtype=np.int64)[:, None] * bits
+    odd = (np.bincount(at.ravel(), minlength=len(sample) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(sample), bits), axis=1, bitorder="little").view(np.int64)
 
 
-def max_distance(similar: float = SIMILAR / 100, bits: int = BITS, margin: float = MARGIN) -> int:
+def max_distance(k: int = _K, bits: int = BITS, margin: float = MARGIN, similar: float = SIMILAR / 100) -> int:
     """Bits by which sketches of sets at the threshold differ at most, but for margin standard deviations."""
-    differ = 2 * _K * (1 - similar)
-    half = bits / 2
-    shrink = math.exp(-2 * differ / bits)
-    mean = half * (1 - shrink)
+    shrink = math.exp(-4 * k * (1 - similar) / bits)
+    mean = bits / 2 * (1 - shrink)
     of_bits = math.sqrt(bits / 4 * (1 - shrink**2))
-    of_samples = shrink * 2 * math.sqrt(_K * similar * (1 - similar))
+    of_samples = shrink * 2 * math.sqrt(k * similar * (1 - similar))
     return math.floor(mean + margin * math.hypot(of_bits, of_samples))
 
 
@@ -233,51 +237,144 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _wide(sets: DataFrame) -> DataFrame:
+    """node and its wider odd sketch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                own = [np.asarray(x.values, np.int64).view(np.uint64) for x in batch.column("shingles")]
+                sketches = odd_sketches(samples(own, WIDE_SAMPLES), WIDE_BITS)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in sketches], pa.binary())], ["node", "wide"])
+
+    return sets.mapInArrow(run, "node bigint, wide binary")
+
+
+def near_pairs(key: int, node: np.ndarray, label: np.ndarray, part: np.ndarray, across: bool, bands: np.ndarray, wide: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a bucket with different labels whose wider sketches don't differ too much, and by how much.
+
+    wide is unsigned, as bitwise_count takes absolute values.
+
+    across: only pairs from one part to the other. nearest: of each class only the
+    nearest one. Else a pair is given in the first bucket that both are in.
+    """
+    limit = max_distance(WIDE_SAMPLES, WIDE_BITS, WIDE_MARGIN)
+    found = ([], [], [])
+    columns = np.flatnonzero(part == part.max()) if across else np.arange(len(node))
+    rows = np.flatnonzero(part == part.min()) if across else columns
+    for start in range(0, len(rows), 64):
+        own = rows[start : start + 64]
+        apart = label[own][:, None] != label[columns][None, :]
+        if not apart.any():
+            continue
+        far = np.bitwise_count(wide[own][:, None, :] ^ wide[columns][None, :, :]).sum(axis=2, dtype=np.int32)
+        far[~apart] = WIDE_BITS + 1
+        if nearest:
+            best = far.argmin(axis=1)
+            least = far[np.arange(len(own)), best]
+            ok = least <= limit
+            pairs = (own[ok], columns[best[ok]], least[ok])
+            if across:  # what lies in the other part has its nearest here, too
+                best = far.argmin(axis=0)
+                least = far[best, np.arange(len(columns))]
+                ok = least <= limit
+                pairs = tuple(np.concatenate(x) for x in zip(pairs, (columns[ok], own[best[ok]], least[ok]), strict=True))
+        else:
+            i, j = np.nonzero(far <= limit)
+            a, b = own[i], columns[j]
+            if not across:
+                keep = node[a] < node[b]
+                i, j, a, b = i[keep], j[keep], a[keep], b[keep]
+            first = np.array([bands[x][np.argmax(bands[x] == bands[y])] == key for x, y in zip(a, b, strict=True)], bool)
+            pairs = (a[first], b[first], far[i, j][first])
+        for held, new in zip(found, pairs, strict=True):
+            held.append(new)
+    a, b, far = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+    return node[a], node[b], far
+
+
+def _open_pairs(opened: DataFrame, payload: DataFrame, *, nearest: bool) -> DataFrame:
+    """a, b, far of the buckets in opened (key, node, label, n). payload: node, bands, wide.
+
+    A bucket of more than SLICE classes is cut into slices by a hash; each pair of
+    slices is a cell of its own, dealt out apart.
+    """
+    n_slices = F.ceil(F.col("n") / SLICE).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
+    cells = (
+        opened.join(payload.hint("merge"), "node").withColumn("slices", n_slices).withColumn("part", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "label", "part", "bands", "wide")
+        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(cell: pa.Table) -> pa.RecordBatch:
+            column = lambda name: cell.column(name).to_numpy()
+            bands = cell.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            wide = np.frombuffer(b"".join(cell.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE_BITS // 64)
+            across = cell.column("i")[0].as_py() != cell.column("j")[0].as_py()
+            a, b, far = near_pairs(cell.column("key")[0].as_py(), column("node"), column("label"), column("part"), across, bands, wide, nearest)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(far, pa.int32())], ["a", "b", "far"])
+
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            at = [batch.column(c).to_numpy() for c in ("key", "i", "j")]
+            starts = [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in at], axis=0)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(starts, starts[1:], strict=False):
+                if start == end:
+                    continue
+                name = tuple(int(x[start]) for x in at)
+                if held and name != last:
+                    yield done(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(start, end - start))
+                last = name
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    return cells.mapInArrow(run, "a bigint, b bigint, far int")
+
+
 def _connect(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """node, label of the classes that are linked with others. reps: node, doc_id, digest, bands, sketch."""
     members = reps.select("node", F.explode("bands").alias("key"))
-    leaders = members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
-    buckets = materialize(members.join(leaders.hint("merge"), "key"), "buckets")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    buckets = materialize(members.join(sizes.hint("merge"), "key"), "buckets")
+    central = buckets.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree"))
+    leaders = buckets.join(central.hint("merge"), "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top")).select("key", F.col("top.node").alias("leader"))
 
     # every class with the leader that it shares most bands with
     best = (
-        buckets.filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
-        .groupBy("node").agg(F.max(F.struct("n", (-F.col("leader")).alias("minus"))).alias("top"))
-        .select(F.col("node").alias("a"), (-F.col("top.minus")).alias("b"))
+        buckets.join(leaders.hint("merge"), "key").filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
+        .groupBy("node").agg(F.max(F.struct("n", "leader")).alias("top"))
+        .select(F.col("node").alias("a"), F.col("top.leader").alias("b"))
     )
-    sketches = reps.select("node", "sketch")
-
-    def sketched(pairs: DataFrame) -> DataFrame:
-        x, y = (sketches.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}")).hint("merge") for n in "ab")
-        return pairs.join(x, "a").join(y, "b").filter(_near(F.col("sa"), F.col("sb"))).select("a", "b")
-
-    first = materialize(sketched(best), "pairs")
-    wanted = buckets.select("node").distinct().join(reps.select("node", "doc_id", "digest"), "node")
+    x, y = (reps.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}")).hint("merge") for n in "ab")
+    first = materialize(best.join(x, "a").join(y, "b").filter(_near(F.col("sa"), F.col("sb"))).select("a", "b"), "pairs")
+    wanted = buckets.select("node").distinct().join(reps.select("node", "doc_id", "digest").hint("merge"), "node")
     sets = materialize(_sets_of(docs, wanted), "sets")
-    links = materialize(_confirmed(first, sets), "links")
-    labels = components(links)
+    labels = components(materialize(_confirmed(first, sets), "links"))
 
-    def labelled() -> DataFrame:
-        """Rows of buckets that hold several labels: key, node, label."""
-        now = buckets.select("key", "node").join(labels.hint("merge"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        split = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key", "low")
+    def opened() -> DataFrame:
+        """Rows of buckets that hold several labels: key, node, n, label."""
+        now = buckets.join(labels.hint("merge"), "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+        split = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
         return now.join(split.hint("merge"), "key")
 
-    # one class of each label in a bucket with one of the bucket's smallest label
-    of_label = labelled().groupBy("key", "label", "low").agg(F.min("node").alias("node"))
-    low = of_label.filter("label = low").select("key", F.col("node").alias("b"))
-    second = materialize(sketched(of_label.filter("label <> low").join(low.hint("merge"), "key").select(F.col("node").alias("a"), "b").distinct()), "pairs")
-    links = links.unionByName(materialize(_confirmed(second, sets), "links"))
-    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))
-
-    # all that is left: classes of different labels that share a bucket
-    left = materialize(labelled().drop("low").join(sketches.hint("merge"), "node"), "open")
-    x = left.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("sa"))
-    y = left.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("sb"))
-    apart = (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _near(F.col("sa"), F.col("sb"))
-    third = materialize(x.join(y.hint("merge"), apart).select("a", "b").distinct(), "pairs")
-    links = materialize(_confirmed(third, sets), "links")
-    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))
+    still = materialize(opened(), "open")
+    own = still.select("node").distinct()
+    payload = materialize(_wide(sets.join(own.hint("merge"), "node")).join(reps.select("node", "bands").hint("merge"), "node"), "wide")
+    for nearest in (True, False):
+        pairs = _open_pairs(still, payload, nearest=nearest)
+        if nearest:
+            pairs = pairs.groupBy("a").agg(F.min(F.struct("far", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
+        more = materialize(_confirmed(materialize(pairs.select("a", "b"), "pairs"), sets), "links")
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+        if nearest:
+            still = materialize(opened(), "open")
+    return labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -293,7 +390,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     are one class. Empty table: empty result.
 
     Links are confirmed on full sets of 64-bit shingle hashes. A pair exactly at the
-    threshold isn't found with a chance of 2e-5; all others are rarer.
+    threshold shares no band with a chance of 2e-5, and its wider sketches are taken
+    for too far with one of 3e-5; more similar pairs are missed far more rarely.
 
     Scale: nothing is collected. Buckets and copies are pre-aggregated; what is
     shuffled is band keys, and the texts of documents that share a band.
