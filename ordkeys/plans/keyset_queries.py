@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordkeys.functions import bytes as B
+from ordkeys.functions.storage import new_path
 from ordkeys.operators import opscript
 from ordkeys.operators.automaton import Automaton
 from ordkeys.operators.keyset import KeySet
 from ordkeys.operators.log import Layered, Log
+from ordkeys.streaming.log_stream import maintain, read_log_stream, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -342,6 +344,15 @@ def compact(spark, d):
     return parts.groupBy("word").agg(F.count("*").alias("n"), F.sum(B.be_to_long(F.col("payload"))).alias("ids")).withColumn("word", F.hex("word"))
 
 
+@_query(f"WITH {_LOG}, {_LAST}, n AS (SELECT word, id, max(lsn) AS lsn FROM lg GROUP BY word, id) SELECT hex(word) || '00' || upper(lpad(printf('%x', id), 16, '0')) AS key, op::TINYINT AS op, lsn FROM ov JOIN n USING (word, id)")
+def log_stream(spark, d):
+    """The log written as two files, taken in as a stream, and the table that it keeps."""
+    source, kept = new_path(spark, "log"), new_path(spark, "kept")
+    _log(spark, d).df.repartition(2).write.parquet(source)
+    maintain(read_log_stream(spark, source, max_files=1), kept, new_path(spark, "progress")).awaitTermination()
+    return read_table(spark, kept).select(_hex("key"), "op", "lsn")
+
+
 # functions
 
 
