@@ -415,12 +415,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def first_documents(docs: DataFrame) -> DataFrame:
     """One document of each group, with all its columns: the one with the smallest doc_id.
 
-    A row with a null doc_id stays only if its group has no other id.
+    Of repeated rows one stays; rows that share an id but not the text both stay. Rows
+    with a null doc_id can't be named as the one that stays; they all stay, once for
+    each text. The join and the removal of repeated rows share one shuffle by id.
     """
-    found = near_duplicates(docs).filter(F.col("kept") | F.col("component_id").isNull()).select(F.col("doc_id").alias("__kept_id")).distinct()
-    some = docs.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__kept_id"))).drop("__kept_id")
-    once = some.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return once.unionByName(some.filter(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    found = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
+    known = docs.join(found.hint("merge"), F.col("doc_id") == F.col("__kept_id")).drop("__kept_id").dropDuplicates(["doc_id", "text"])
+    return known.unionByName(docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"]))
 
 
 def op10_near_duplicates(spark, sf_dir):

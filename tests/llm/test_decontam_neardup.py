@@ -137,3 +137,32 @@ def test_sketches_tell_similarity():
     assert apart == sorted(apart) and apart[1] <= neardup.max_distance() < apart[3]
     one = neardup.samples([np.arange(50_000, dtype=np.uint64) << np.uint64(33)])
     assert (one == np.minimum(*(neardup.samples([p << np.uint64(33)]) for p in np.array_split(np.arange(50_000, dtype=np.uint64), 2)))).all()
+
+
+def test_slices_of_large_buckets_lose_no_pair(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
+    sets = []
+    for k in range(40):
+        own = base.copy()
+        change = rng.choice(150, 2 * (k % 9), replace=False)
+        own[change] = rng.integers(0, 1 << 63, len(change), dtype=np.uint64)
+        sets.append(np.unique(own))
+    bands = neardup.band_keys(neardup.samples(sets))
+    wide = neardup.odd_sketches(neardup.samples(sets, neardup.WIDE_SAMPLES), neardup.WIDE_BITS)
+    limit = neardup.max_distance(neardup.WIDE_SAMPLES, neardup.WIDE_BITS, neardup.WIDE_MARGIN)
+    label = [k % 3 for k in range(40)]
+    far = lambda a, b: int(np.bitwise_count(wide[a].view(np.uint64) ^ wide[b].view(np.uint64)).sum())
+    shared = lambda a, b: (bands[a] == bands[b]).any()
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if label[a] != label[b] and shared(a, b) and far(a, b) <= limit}
+    keys = [(int(k), n, label[n], 40) for n in range(40) for k in bands[n]]
+    opened = spark.createDataFrame(keys, "key long, node long, label long, n long")
+    payload = spark.createDataFrame([(n, bands[n].tolist(), bytearray(wide[n].tobytes())) for n in range(40)], "node long, bands array<long>, wide binary")
+    for size in (7, 2_048):
+        monkeypatch.setattr(neardup, "SLICE", size)
+        got = [(min(r.a, r.b), max(r.a, r.b)) for r in neardup._open_pairs(opened, payload, nearest=False).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        least = {}
+        for r in neardup._open_pairs(opened, payload, nearest=True).collect():
+            least[r.a] = min(least.get(r.a, 9_999), r.far)
+        assert least == {a: min(far(*p) for p in want if a in p) for a in {x for p in want for x in p}}
