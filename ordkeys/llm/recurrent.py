@@ -34,7 +34,11 @@ CLASSES = END + 1
 #: Added to every count.
 ADD = 0.1
 #: Units; steps of a window; documents side by side in training and in scoring.
-UNITS, WINDOW, TRAIN_DOCS, SCORE_DOCS = 16, 24, 64, 1024
+UNITS, WINDOW, TRAIN_DOCS, SCORE_DOCS = 16, 24, 64, 8192
+#: States whose softmax is taken at a time.
+_STATES = 24_000
+#: Documents whose other words are held as Python objects.
+_HELD = 512
 #: Rounds of training, and the share of training documents that each takes.
 ROUNDS, SHARE = 2, 8
 #: Most words, and most bytes of a word, in the table of frequent words that all tasks hold. All other words meet their counts in a join.
@@ -108,7 +112,8 @@ class Gru:
         """Natural logs of the targets' chances; all classes' chances as numerators and denominator."""
         y = states @ self.o
         y += self.b
-        y -= y.max(axis=1, keepdims=True)
+        if np.abs(self.o).sum(axis=0).max() + np.abs(self.b).max() > 60:  # else no exponential can overflow: states lie within 1
+            y -= y.max(axis=1, keepdims=True)
         own = y[np.arange(len(targets)), targets]
         np.exp(y, out=y)
         total = y.sum(axis=1)
@@ -134,20 +139,30 @@ def log_likelihoods(model: Gru, sequences: list[np.ndarray]) -> np.ndarray:
         h = np.zeros((len(chosen), UNITS), np.float32)
         before = np.full(len(chosen), CLASSES)
         total = np.zeros(len(chosen))
+        states, targets, held = [], [], 0
+
+        def flush() -> None:
+            if states:
+                logs, _ = model.log_chances(np.concatenate(states), np.concatenate(targets))
+                ends = np.cumsum([len(s) for s in states])
+                for s, end in zip(states, ends, strict=True):
+                    total[: len(s)] += logs[end - len(s) : end]
+                states.clear()
+                targets.clear()
+
+        alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left").tolist()  # sequences longer than t
         for start in range(0, lengths[0], WINDOW):
-            own = [sequences[i][start : start + WINDOW] for i in chosen[: int((lengths > start).sum())]]
-            window, _ = _padded(own)
-            states, targets, who = [], [], []
-            for t in range(len(window)):
-                n = int((lengths > start + t).sum())
-                h, before = h[:n], before[:n]
-                h = model.step(before, h)[3]
+            window, _ = _padded([sequences[i][start : start + WINDOW] for i in chosen[: alive[start]]])
+            for t, n in enumerate(alive[start : start + WINDOW]):
+                h = model.step(before[:n], h[:n])[3]
                 before = window[t, :n]
                 states.append(h)
                 targets.append(before)
-                who.append(np.arange(n))
-            logs, _ = model.log_chances(np.concatenate(states), np.concatenate(targets))
-            total += np.bincount(np.concatenate(who), weights=logs, minlength=len(chosen))
+                held += n
+                if held >= _STATES:
+                    flush()
+                    held = 0
+        flush()
         out[chosen] = total / math.log(10)
     return out
 
@@ -350,7 +365,7 @@ def score_documents(docs: DataFrame, model: Gru, counts: Counts, vocabulary: Dat
             for at in range(0, whole.num_rows, SCORE_DOCS):
                 batch = whole.slice(at, SCORE_DOCS)
                 rows = {k: [] for k in ("n_tokens", "n_known", "base", "within", "others")}
-                sequences = []
+                sequences, others = [], []
                 for text in batch.column("text"):
                     w = tokens_of(text.as_py())
                     ids = np.fromiter(map(get, w, repeat(-1)), np.int64, len(w))
@@ -371,11 +386,15 @@ def score_documents(docs: DataFrame, model: Gru, counts: Counts, vocabulary: Dat
                     rows["base"].append(float(base[known].sum()) + end[0])
                     rows["within"].append(float(within[known].sum()) + end[1])
                     rows["others"].append([{"word": x, "class": k, "times": n} for x, (k, n) in found.items()])
+                    if len(rows["others"]) == _HELD:
+                        others.append(pa.array(rows["others"], struct))
+                        rows["others"] = []
+                others.append(pa.array(rows["others"], struct))
                 score = log_likelihoods(gru, sequences) + np.array(rows["within"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"), pa.array(rows["n_tokens"], pa.int64()), pa.array(rows["n_known"], pa.int64()),
-                        pa.array(rows["base"], pa.float64()), pa.array(score, pa.float64()), pa.array(rows["others"], struct),
+                        pa.array(rows["base"], pa.float64()), pa.array(score, pa.float64()), pa.concat_arrays(others),
                     ],
                     ["doc_id", "n_tokens", "n_known", "base", "score", "others"],
                 )
