@@ -24,7 +24,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of two or more benchmark items."""
+    """Documents without a passage of the benchmark: no whole window of any item, and fewer than two short items."""
     return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -166,13 +166,20 @@ def scan_documents(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, m
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, min_items: int = MIN_ITEMS, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
-    """The documents that have windows of fewer than min_items items, with all their columns."""
+    """The documents without a passage of the benchmark, with all their columns.
+
+    A document goes if a whole window of any item occurs in it. Items of fewer words
+    than a window may occur by chance; such ones count from min_items items on.
+    """
     shared = _shared_blocks(items, max_block_bytes)
 
+    def clean(found: dict) -> bool:
+        return len(found["items"]) < min_items and all(end - first < window for first, end in found["runs"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = _scan_batch(batch.column("text").to_pylist(), shared, window)
-            yield batch.filter(pa.array([len(f["items"]) < min_items for f in found], pa.bool_()))
+            yield batch.filter(pa.array([clean(f) for f in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

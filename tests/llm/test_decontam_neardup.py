@@ -50,6 +50,10 @@ def test_clean_documents_and_digest(spark):
     clean = decontam.clean_documents(docs, items)
     assert clean.columns == docs.columns and collected(clean, "doc_id") == [(1,), (3,), (3,)]
     assert decontam.clean_documents(docs, items.limit(0)).count() == 4 and decontam.scan_documents(docs.limit(0), items).count() == 0
+    passage = " ".join(f"p{i}" for i in range(9))
+    whole = spark.createDataFrame([(1, passage), (2, "p0")], "item_id long, text string")
+    some = documents(spark, [(1, f"x {passage.upper()}", "a"), (2, passage[:20], "a"), (3, "p0 alone", "a")])
+    assert collected(decontam.clean_documents(some, whole), "doc_id") == [(2,), (3,)]
     got = {r.doc_id: r.s for r in decontam.scan_documents(docs, items).select("doc_id", decontam.digest(decontam.F.col("items")).alias("s")).collect()}
     assert got[2] == hashlib.sha256(b"10,9").hexdigest() and got[3] == hashlib.sha256(b"").hexdigest()
 

@@ -41,7 +41,12 @@ def test_pipeline_stages(spark):
     kept = {r.doc_id for r in neardup.near_duplicates(at).filter("kept").collect()}
     at = stages["near_duplicates"](spark, at, DATA).cache()
     assert sorted(r.doc_id for r in at.collect()) == sorted(kept) and at.columns == docs.columns
-    bad = {r.doc_id for r in decontam.scan_documents(at, items).collect() if len(r["items"]) >= 2}
+    machine = decontam.Automaton([(r.item_id, r.text) for r in items.collect()])
+    bad = set()
+    for r in at.collect():
+        found = machine.scan(decontam.flat(r.text or "").split())
+        if len({p for *_, places in found for p in places}) >= 2 or any(end - first == 8 for first, end, _ in found):
+            bad.add(r.doc_id)
     at = stages["decontamination"](spark, at, DATA).cache()
     assert {r.doc_id for r in at.collect()} == kept - bad and at.columns == docs.columns
     mixed = stages["mixing"](spark, at, DATA).cache()
