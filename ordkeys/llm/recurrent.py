@@ -6,9 +6,9 @@ every word, known or not, has one. Chances in a class come from counts over all
 training tokens; the network predicts the sequence of classes. Its state is carried
 from window to window, so a document of any length is scored whole.
 
-Training: in each round every task trains a copy of the network on its share of the
-training documents; the copies are averaged by the number of their tokens. The share
-is a fixed fraction, so that training data grow with the corpus.
+Training: in each round every task trains a copy of the network on its documents of
+the round's part; the copies are averaged by the number of their tokens. The rounds
+together take every training document.
 """
 
 from __future__ import annotations
@@ -39,13 +39,15 @@ UNITS, WINDOW, TRAIN_DOCS, SCORE_DOCS = 16, 24, 64, 8192
 _STATES = 24_000
 #: Documents whose other words are held as Python objects.
 _HELD = 512
-#: Rounds of training, and the share of training documents that each takes.
-ROUNDS, SHARE = 2, 8
+#: Rounds of training. Each takes one of as many parts, so that together they take every training document.
+ROUNDS = 2
 #: Most words, and most bytes of a word, in the table of frequent words that all tasks hold. All other words meet their counts in a join.
 FREQUENT, WORD_BYTES = 300_000, 48
 _RATE = 0.015
 #: Entries of a task's table of counts before it is handed on.
 _COUNTS = 250_000
+#: Words whose classes a training task remembers.
+_CLASSES_HELD = 100_000
 
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -100,7 +102,10 @@ class Gru:
 
     def step(self, before: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """before: classes read; h: states. Returns update, reset, candidate and new state."""
-        row = self.x[before]
+        return self.advance(self.x[before], h)
+
+    def advance(self, row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """row: input rows of the classes read. Returns what step() does."""
         zr = row[:, : 2 * UNITS] + h @ self.zr
         np.tanh(0.5 * zr, out=zr)
         zr = 0.5 * zr + 0.5
@@ -182,40 +187,45 @@ class Trainer:
             columns, lengths = _padded([sequences[i] for i in order[at : at + TRAIN_DOCS]])
             h = np.zeros((len(lengths), UNITS), np.float32)
             before = np.full(len(lengths), CLASSES)
+            alive = np.searchsorted(-lengths, -np.arange(len(columns)), side="left").tolist()  # sequences longer than t
             for start in range(0, len(columns), WINDOW):
-                counts = [int((lengths > t).sum()) for t in range(start, min(start + WINDOW, len(columns)))]
+                counts = alive[start : start + WINDOW]
                 h, before = self.window(columns[start : start + WINDOW], counts, h[: counts[0]], before[: counts[0]])
 
     def window(self, columns: np.ndarray, counts: list[int], h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        model, kept = self.model, []
-        for t, n in enumerate(counts):
-            h, before = h[:n], before[:n]
-            z, r, c, new = model.step(before, h)
-            kept.append((before, h, z, r, c, new))
-            h, before = new, columns[t, :n]
-        states, targets = np.concatenate([k[5] for k in kept]), np.concatenate([columns[t, :n] for t, n in enumerate(counts)])
+        model, ends = self.model, np.cumsum(counts).tolist()
+        at = [slice(end - n, end) for end, n in zip(ends, counts, strict=True)]
+        reads = np.concatenate([before[: counts[0]], *(columns[t, :n] for t, n in enumerate(counts[1:]))])
+        targets = np.concatenate([columns[t, :n] for t, n in enumerate(counts)])
+        rows, kept = model.x[reads], []
+        for own, n in zip(at, counts, strict=True):
+            h = h[:n]
+            z, r, c, new = model.advance(rows[own], h)
+            kept.append((h, z, r, c, new))
+            h = new
+        old, z, r, c, states = map(np.concatenate, zip(*kept, strict=True))
         _, (y, total) = model.log_chances(states, targets)
-        y /= total[:, None]
-        y[np.arange(len(targets)), targets] -= 1
-        y /= len(targets)
+        y /= (total * len(targets))[:, None]
+        y[np.arange(len(targets)), targets] -= 1 / len(targets)
         d_o, d_b, d_states = states.T @ y, y.sum(0), y @ model.o.T
-        d_x, d_zr, d_n = np.zeros_like(model.x), np.zeros_like(model.zr), np.zeros_like(model.n)
-        ends = np.cumsum(counts)
-        d_h = np.zeros((0, UNITS), np.float32)
-        for t in range(len(counts) - 1, -1, -1):
-            n = counts[t]
-            read, old, z, r, c, _ = kept[t]
-            d = d_states[ends[t] - n : ends[t]].copy()
+        of_c, of_z, of_r = (1 - z) * (1 - c * c), (old - c) * z * (1 - z), old * r * (1 - r)
+        d_rows = np.empty_like(rows)  # of update, reset and candidate, as in x
+        n_back, zr_back, d_h = np.ascontiguousarray(model.n.T), np.ascontiguousarray(model.zr.T), d_states[:0]
+        for own in reversed(at):
+            d, d_row = d_states[own], d_rows[own]
             d[: len(d_h)] += d_h
-            d_c = d * (1 - z) * (1 - c * c)
-            d_rh = d_c @ model.n.T
-            d_gates = np.concatenate((d * (old - c) * z * (1 - z), d_rh * old * r * (1 - r)), axis=1)
-            d_n += (r * old).T @ d_c
-            d_zr += old.T @ d_gates
-            np.add.at(d_x, read, np.concatenate((d_gates, d_c), axis=1))
-            d_h = d * z + d_rh * r + d_gates @ model.zr.T
+            d_c = np.multiply(d, of_c[own], out=d_row[:, 2 * UNITS :])
+            d_rh = d_c @ n_back
+            np.multiply(d, of_z[own], out=d_row[:, :UNITS])
+            np.multiply(d_rh, of_r[own], out=d_row[:, UNITS : 2 * UNITS])
+            d_h = d * z[own] + d_rh * r[own] + d_row[:, : 2 * UNITS] @ zr_back
+        d_n, d_zr = (r * old).T @ d_rows[:, 2 * UNITS :], old.T @ d_rows[:, : 2 * UNITS]
+        d_x = np.zeros_like(model.x)
+        order = np.argsort(reads, kind="stable")
+        found, first = np.unique(reads[order], return_index=True)
+        d_x[found] = np.add.reduceat(d_rows[order], first)
         self.update([d_x, d_zr, d_n, d_o, d_b])
-        return h, before
+        return h, columns[len(counts) - 1, : counts[-1]]
 
     def update(self, gradients: list[np.ndarray]) -> None:
         self.steps += 1
@@ -227,8 +237,19 @@ class Trainer:
             p -= np.float32(self.rate) * (m / np.float32(1 - 0.9**self.steps)) / (np.sqrt(v / np.float32(1 - 0.99**self.steps)) + np.float32(1e-6))
 
 
-def class_sequence(text: str | None) -> np.ndarray:
-    return np.array([*map(class_of, tokens_of(text)), END], np.int32)
+class _Classes(dict):
+    """Classes of words met before, so many at most."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = class_of(word)
+        if len(self) < _CLASSES_HELD and len(word) <= WORD_BYTES:
+            self[word] = found
+        return found
+
+
+def class_sequence(text: str | None, classes: _Classes | None = None) -> np.ndarray:
+    known = class_of if classes is None else classes.__getitem__
+    return np.array([*map(known, tokens_of(text)), END], np.int32)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -301,8 +322,13 @@ def gather(vocabulary: DataFrame, most: int = FREQUENT) -> Counts:
     return Counts(of("tokens"), of("kinds"), words, table.column("n").to_numpy(), table.column("class").to_numpy())
 
 
-def train(docs: DataFrame, counts: Counts, *, rounds: int = ROUNDS, share: int = SHARE) -> Gru:
-    """Rounds of local training and averaging. Of each round's documents one in ``share`` is taken, by a hash of doc_id and text."""
+def train(docs: DataFrame, counts: Counts, *, rounds: int = ROUNDS, share: int = ROUNDS) -> Gru:
+    """Rounds of local training and averaging. Documents are dealt into ``share`` parts by a hash of doc_id and text; each round takes the next part.
+
+    There are no more parts than rounds, so no document is left out.
+    """
+    if not 1 <= share <= rounds:
+        raise ValueError("as many rounds as parts are needed, or documents are left out")
     context = docs.sparkSession.sparkContext
     model = Gru.new(counts.tokens)
     size = len(model.flat())
@@ -311,9 +337,9 @@ def train(docs: DataFrame, counts: Counts, *, rounds: int = ROUNDS, share: int =
         shared = context.broadcast(model.flat())
 
         def local(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            trainer, seen = Trainer(Gru.of(shared.value)), 0
+            trainer, seen, classes = Trainer(Gru.of(shared.value)), 0, _Classes()
             for batch in batches:
-                sequences = [class_sequence(x.as_py()) for x in batch.column("text")]
+                sequences = [class_sequence(x.as_py(), classes) for x in batch.column("text")]
                 if sequences:
                     trainer.fit(sequences)
                     seen += sum(map(len, sequences))

@@ -102,3 +102,20 @@ def test_nothing_to_learn_from(spark):
     counts = R.gather(vocabulary)
     r = R.score_documents(docs, R.train(docs.limit(0), counts), counts, vocabulary).first()
     assert (r.n_tokens, r.n_known) == (3, 0) and math.isfinite(r.score) and r.base_score == pytest.approx(0.0)
+
+
+def test_training_takes_every_document(spark, monkeypatch):
+    docs = documents(spark, [(i, f"w{i} and more", "a") for i in range(200)] + [(None, "w200 and more", "a")])
+    counts = R.gather(R.with_classes(R.count_words(docs)).cache())
+    read, whole = Counter(), type(docs).mapInArrow
+
+    def noted(self, f, schema, *more, **named):
+        if self.columns == ["text"]:
+            read.update(r.text for r in self.collect())
+        return whole(self, f, schema, *more, **named)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", noted)
+    R.train(docs, counts)
+    assert read == Counter(f"w{i} and more" for i in range(201))
+    with pytest.raises(ValueError):
+        R.train(docs, counts, rounds=2, share=8)
