@@ -30,8 +30,8 @@ class Shard:
 def topology(n_shards: int) -> tuple[Shard, ...]:
     """Two regions of two racks each share the largest multiple of four shards up to eight; each further one opens a region.
 
-    A shard in a region of its own competes at the top level alone, so that growing
-    by one takes documents only into the new shard.
+    This is a layout to start with. Layouts of fewer than eight shards aren't parts of
+    each other; shards in use grow by grow(), not by the layout of the next number.
     """
     if n_shards < 1:
         raise ValueError("at least one shard is needed")
@@ -40,6 +40,16 @@ def topology(n_shards: int) -> tuple[Shard, ...]:
     return (*inner, *(Shard(f"region+{k}", "rack0", k) for k in range(base, n_shards)))
 
 
+def grow(tree: tuple[Shard, ...]) -> tuple[Shard, ...]:
+    """The tree with one more shard, in a region of its own.
+
+    There it competes at the top level alone, and all else stays, so that documents
+    move only into the new shard.
+    """
+    k = max(x.shard for x in tree) + 1
+    return (*tree, Shard(f"region+{k}", "rack0", k))
+
+
 def _draw(key: list[Column], path: str, weight: float) -> Column:
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(path), *key), 11).cast("double")
     return -F.log((bits + 0.5) / float(2**53)) / F.lit(float(weight))
@@ -79,11 +89,12 @@ def shard_of(key: list[Column], tree: tuple[Shard, ...]) -> Column:
     return _winner(key, regions).cast("int")
 
 
-def assign_shards(docs: DataFrame, *, n_shards: int = 8, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def assign_shards(docs: DataFrame, *, n_shards: int = 8, tree: tuple[Shard, ...] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Shard and place in the shard of every document, under the law ``key``.
 
-    docs: doc_id, text; other columns are ignored. doc_id and the number of shards
-    alone decide the shard; with one more shard, documents move only into it.
+    docs: doc_id, text; other columns are ignored. tree: the shards in use, by default
+    topology(n_shards). doc_id and the tree alone decide the shard; grown_shard is the
+    shard under grow(tree), where documents move only into the new shard.
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Null text: no bytes, so size 1 and CRC 0. Null doc_id: a key like any other.
@@ -96,17 +107,18 @@ def assign_shards(docs: DataFrame, *, n_shards: int = 8, rows_per_bucket: int =
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     key = [F.col("doc_id")]
+    tree = tree or topology(n_shards)
     base = materialize(
         docs.select(
             "doc_id",
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-            shard_of(key, topology(n_shards)).alias("shard"),
-            shard_of(key, topology(n_shards + 1)).alias("grown_shard"),
+            shard_of(key, tree).alias("shard"),
+            shard_of(key, grow(tree)).alias("grown_shard"),
         ),
         "shards",
     )
-    n_buckets = min(MAX_BUCKETS, max(1, -(-base.count() // (n_shards * rows_per_bucket))))
+    n_buckets = min(MAX_BUCKETS, max(1, -(-base.count() // (len(tree) * rows_per_bucket))))
     own = ["doc_id", "size", "text_crc32", "shard", "grown_shard"]
     rows = (
         base.groupBy(*own).agg(F.count("*").alias("copies"))

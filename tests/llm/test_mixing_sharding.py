@@ -116,3 +116,15 @@ def test_shards_follow_weights_and_changes_stay_in_their_subtree(spark):
 def test_long_text_is_sized_whole(spark):
     r = sharding.assign_shards(documents(spark, [(1, LONG, "a")])).first()
     assert (r.size, r.text_crc32) == (len(LONG) + 1, crc32(LONG.encode()))
+
+
+def test_one_more_shard_takes_and_never_deals(spark):
+    docs = documents(spark, [(i, "x", "s") for i in range(400)])
+    for n in range(1, 14):
+        got = sharding.assign_shards(docs, n_shards=n).collect()
+        assert all(r.grown_shard in (r.shard, n) for r in got) and any(r.grown_shard == n for r in got)
+        if n in (3, 7):  # what has grown goes on as the tree in use
+            grown = sharding.assign_shards(docs, tree=sharding.grow(sharding.topology(n)))
+            assert collected(grown, "doc_id", "shard") == sorted(((r.doc_id, r.grown_shard) for r in got), key=str)
+            assert all(r.grown_shard in (r.shard, n + 1) for r in grown.collect())
+    assert sharding.grow(sharding.topology(8)) == sharding.topology(9)
