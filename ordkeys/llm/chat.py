@@ -50,7 +50,7 @@ def rotate_perspectives(turns: DataFrame, *, block_turns: int = BLOCK_TURNS) ->
 
     turns: conv_id, turn, role, text; other columns are ignored. Participants are the
     roles of a conversation but the system. Returns conv_id, participant, block, part
-    (both 0 in conversations of up to block_turns turns), n_turns, text, and masks:
+    (both 0 if no turn number lies outside 0 to block_turns - 1 and there are at most block_turns turns), n_turns, text, and masks:
     start and end, in characters of text, of what the participant says, with the mark
     that ends the turn.
 
