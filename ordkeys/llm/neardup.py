@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordkeys.llm.common import materialize
+from ordkeys.llm.common import materialize, n_words
 
 #: Words of a shingle; least similarity, in hundredths.
 SHINGLE, SIMILAR = 5, 75
@@ -413,15 +413,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def first_documents(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns: the one with the smallest doc_id.
+    """One document of each group, with all its columns: the one with the smallest doc_id, nulls last.
 
-    Of repeated rows one stays; rows that share an id but not the text both stay. Rows
-    with a null doc_id can't be named as the one that stays; they all stay, once for
-    each text. The join and the removal of repeated rows share one shuffle by id.
+    Rows are told apart by a number given when they are written, so that of rows that
+    share the smallest doc_id, or have none, one stays. Rows without words are groups
+    of their own; of repeated ones one stays.
     """
-    found = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    known = docs.join(found.hint("merge"), F.col("doc_id") == F.col("__kept_id")).drop("__kept_id").dropDuplicates(["doc_id", "text"])
-    return known.unionByName(docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).filter("n_shingles > 0")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    grouped = found.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", "doc_id").hint("merge"), "__row")
+    first = grouped.groupBy("component_id").agg(F.min_by("__row", order).alias("__row")).select("__row")
+    wordless = rows.filter(n_words(F.col("text")) == 0).groupBy("doc_id", "text").agg(F.min("__row").alias("__row")).select("__row")
+    return rows.join(first.unionByName(wordless).hint("merge"), "__row").select(*docs.columns)
 
 
 def op10_near_duplicates(spark, sf_dir):

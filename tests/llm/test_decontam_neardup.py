@@ -170,3 +170,13 @@ def test_slices_of_large_buckets_lose_no_pair(spark, monkeypatch):
         for r in neardup._open_pairs(opened, payload, nearest=True).collect():
             least[r.a] = min(least.get(r.a, 9_999), r.far)
         assert least == {a: min(far(*p) for p in want if a in p) for a in {x for p in want for x in p}}
+
+
+def test_one_document_of_each_group_stays(spark):
+    text = [" ".join(f"{w}{i}" for i in range(60)) for w in "abcd"]
+    near = [f"{t} more" for t in text]
+    rows = [(None, text[0], "a"), (None, near[0], "a"), (5, text[1], "a"), (None, near[1], "a"), (6, text[2], "a"), (6, near[2], "a"), (7, text[3], "a"), (8, near[3], "a"), (8, "other words", "a")]
+    rows += [(None, "", "a"), (None, "", "a"), (9, " ", "a"), (9, " ", "a"), (9, None, "a")]
+    got = [(r.doc_id, r.text) for r in neardup.first_documents(documents(spark, rows)).collect()]
+    assert sorted(str(i) for i, t in got if words(t)) == sorted(map(str, [None, 5, 6, 7, 8])) and (8, "other words") in got and (7, text[3]) in got
+    assert sorted(((i, t) for i, t in got if not words(t)), key=str) == sorted([(None, ""), (9, " "), (9, None)], key=str)
