@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import LONG, ODD, collected, documents, words
 
@@ -27,30 +28,52 @@ def odd_texts(n=1500):
     return ["".join(r.choice([*parts, chr(r.randrange(1, 0x3000)), chr(r.randrange(97, 123))]) for _ in range(r.randrange(1, 40))) for _ in range(n)]
 
 
-def test_counts_are_the_librarys(library):
+def test_counts_are_the_librarys(library, monkeypatch):
     counter = tokens.Counter(PATH)
-    texts = ["", " ", "x" * 300, "ab" * 2_000, "<|startoftext|>a<|endoftext|>", LONG, *odd_texts()]
-    assert [counter.count(t) for t in texts] == library(texts)
-    small = tokens.Counter(PATH, block=23, max_pieces=50)
-    small.words.max_states = 100
-    assert [small.count(t) for t in texts[5:300]] == library(texts[5:300])
+    r = random.Random(8)
+    unbroken = ["x" * 300, "ab" * 2_000, "aaab" * 777, "a" * 20_000 + " b", "".join(r.choice("abcdet") for _ in range(5_000)), "1" * 700, "é" * 999]
+    texts = ["", " ", "<|startoftext|>a<|endoftext|>", "don't we'll 'tis ''s's x're1's!", LONG, *unbroken, *odd_texts()]
+    want = library(texts)
+    assert counter.counts(pa.array([None, *texts])).tolist() == [0, *want]
+    # blocks, chunks and steps of any size, and states that are dropped, change nothing
+    monkeypatch.setattr(tokens, "CHUNK", 5)
+    monkeypatch.setattr(tokens, "_STEP", 37)
+    small = tokens.Counter(PATH, block=23)
+    small.words.max_states = 300
+    some = [i for i, t in enumerate(texts) if len(t) < 3_000][:400]
+    assert small.counts(pa.array([texts[i] for i in some])).tolist() == [want[i] for i in some]
+    assert len(small.words.keys) < 2_000
+
+
+def test_pairs_of_tokens_are_told_by_their_merges():
+    words = tokens.Counter(PATH).words
+    r = random.Random(3)
+    for _ in range(400):
+        words.count("".join(r.choice("abdehilnorst") for _ in range(r.randrange(2, 14))).encode())
+    held = [(divmod(k, len(words.tokens)), fits) for k, fits in words.fits.items() if k >= 0]
+    assert {fits for _, fits in held} == {True, False}
+    for (a, b), fits in held:
+        left, right = words.tokens[a], words.tokens[b]
+        ends = right.endswith("</w>")
+        assert fits == (words.encode(left + right.removesuffix("</w>"), ends) == [left, right])
 
 
 def test_maps_of_blocks_compose_in_any_grouping():
     c = tokens.Counter(PATH)
     text = "One two　three  fourfivesix " * 3 + "end"
+    counted = lambda pieces: int(c.piece_counts(pa.array(pieces, pa.string())).sum())
     for seed in range(20):
         r = random.Random(seed)
         cuts = sorted(r.sample(range(1, len(text)), 5))
         maps = [c.map_of(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
         left = maps[0]
         for m in maps[1:]:
-            left = c.compose(left, m)
+            left = tokens.compose_blocks(left, m)
         right = maps[-1]
         for m in maps[-2::-1]:
-            right = c.compose(m, right)
+            right = tokens.compose_blocks(m, right)
         assert left == right
-        assert c.piece(left.head) + left.whole + c.piece(left.tail) == c.plain(text)
+        assert left.whole + counted([left.head, left.tail, *left.pieces]) == c.counts(pa.array([text]))[0]
 
 
 def test_token_counts_of_documents(spark, library):
