@@ -10,9 +10,6 @@ from ordkeys.functions.storage import materialize, new_path  # noqa: F401
 #: A word: a run of characters other than the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Most sub-ranges into which one group is cut for distributed ranks and prefix sums.
-MAX_BUCKETS = 65_536
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,3 +27,15 @@ def n_words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once a row, also where body uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def ranged(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df in the given order, dealt into ranges and written; with ``range``, the range's number, and ``row``, which grows with the order in a range.
+
+    A group of any size lies in as many ranges as it needs, rows that are equal in the
+    order included: a hash of their place tells them apart. df must give the same rows
+    in the same order when a task is repeated, as scans of files do.
+    """
+    tied = df.withColumn("__tie", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = tied.repartitionByRange(*order, "__tie").sortWithinPartitions(*order, "__tie").drop("__tie")
+    return materialize(dealt.select("*", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("row")), name)

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordkeys.llm.common import new_path
+from ordkeys.llm.common import materialize, new_path
 
 #: What ends a record, after its block.
 RECORD_END = "\r\n\r\n"
-#: Bytes of records an archive file should hold, and most records; a reading task holds one file.
+#: Bytes of payloads that an archive file holds on average, and most records of one; a reading task holds one file.
 FILE_BYTES, FILE_RECORDS = 16_000_000, 20_000
 #: Payloads of fewer bytes are never written as revisits.
 MIN_REVISIT_BYTES = 0
@@ -66,75 +66,82 @@ def _record(fields: list[tuple[str, Column]], block: Column) -> Column:
 def capture_roles(captures: DataFrame, *, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Of captures with equal payloads, the one with the largest page_id is the response.
 
-    captures: page_id, url, html. Adds payload_bytes, digest (hex SHA-1), response
-    (page_id and url of the response, null where the capture itself is it).
+    captures: page_id, url, html. Returns row (a number of its own for each capture),
+    page_id, url, payload_bytes, digest (hex SHA-1), same (SHA-256), and response
+    (page_id, row and url of the response, null where the capture itself is one).
 
-    Equal payloads are found by SHA-256. The largest id of each is pre-aggregated
-    before the shuffle; only ids and digests meet in the join, and the join's skew
-    falls to adaptive execution. Rows that share the largest id are all responses.
+    Equal payloads are found by SHA-256. Payloads aren't carried along: the largest id
+    of each is pre-aggregated before the shuffle, ids and digests meet in the join, and
+    Spark may split it. Rows that share the largest id are all responses.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    known = captures.select(
-        "page_id", "url", "html",
-        F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("digest"), F.sha2(payload, 256).alias("same"),
-    )
-    first = (
-        captures.select("page_id", "url", F.sha2(payload, 256).alias("same"))
-        .groupBy("same").agg(F.max(F.struct("page_id", "url")).alias("first"))
+    known = materialize(
+        captures.select(
+            F.monotonically_increasing_id().alias("row"), "page_id", "url",
+            F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("digest"), F.sha2(payload, 256).alias("same"),
+        ),
+        "captures",
     )
+    first = known.groupBy("same").agg(F.max(F.struct("page_id", "row", "url")).alias("first"))
     own = (F.col("payload_bytes") < min_revisit_bytes) | F.col("page_id").eqNullSafe(F.col("first.page_id"))
-    return known.join(first, "same").select("page_id", "url", "html", "payload_bytes", "digest", F.when(~own, F.col("first")).alias("response"))
+    return known.join(first.hint("merge"), "same").select("row", "page_id", "url", "payload_bytes", "digest", "same", F.when(~own, F.col("first")).alias("response"))
+
 
+def records(captures: DataFrame, *, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The records of captures as text, one a row: those that hold a payload, with its bytes; and all others.
 
-def records(captures: DataFrame, *, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """The records of captures as text: one row with an array of three for each capture."""
-    c = capture_roles(captures, min_revisit_bytes=min_revisit_bytes)
+    Payloads are shuffled pre-aggregated, so that one which many captures share goes
+    once from each task; captures that are responses take theirs in a join.
+    """
+    c = materialize(capture_roles(captures, min_revisit_bytes=min_revisit_bytes), "roles")
     html = F.coalesce(F.col("html"), F.lit(""))
+    payloads = captures.select(html.alias("html")).groupBy(F.sha2(F.col("html").cast("binary"), 256).alias("same")).agg(F.first("html").alias("html"))
     uri = F.coalesce(F.col("url"), F.lit("about:blank"))
-    capture = _id("response", F.col("page_id"), F.col("url"), F.col("digest"))
+    of = lambda kind: _id(kind, F.col("row"), F.col("page_id"), F.col("url"), F.col("digest"))
+    capture = of("response")
     revisit = F.col("response").isNotNull()
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
     common = [("WARC-Target-URI", uri), ("WARC-Date", F.lit(DATE))]
-    main = _record(
+
+    def main(kind: str, more: list[tuple[str, Column]], block: Column) -> Column:
+        digest = F.concat(F.lit("sha1:"), base32_of_hex(F.col("digest")))
+        fields = [("WARC-Type", F.lit(kind)), ("WARC-Record-ID", capture), *common, ("WARC-Payload-Digest", digest), *more, ("Content-Type", F.lit("application/http; msgtype=response"))]
+        return _record(fields, block)
+
+    first = F.col("response")
+    revisits = main(
+        "revisit",
         [
-            ("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-            ("WARC-Record-ID", capture),
-            *common,
-            ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_of_hex(F.col("digest")))),
-            ("WARC-Profile", F.when(revisit, REVISIT_PROFILE)),
-            ("WARC-Refers-To", F.when(revisit, _id("response", F.col("response.page_id"), F.col("response.url"), F.col("digest")))),
-            ("WARC-Refers-To-Target-URI", F.when(revisit, F.coalesce(F.col("response.url"), F.lit("about:blank")))),
-            ("Content-Type", F.lit("application/http; msgtype=response")),
+            ("WARC-Profile", F.lit(REVISIT_PROFILE)),
+            ("WARC-Refers-To", _id("response", first["row"], first["page_id"], first["url"], F.col("digest"))),
+            ("WARC-Refers-To-Target-URI", F.coalesce(first["url"], F.lit("about:blank"))),
         ],
-        F.when(revisit, head).otherwise(F.concat(head, html)),
+        head,
     )
     request = _record(
-        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", _id("request", F.col("page_id"), F.col("url"), F.col("digest"))), ("WARC-Concurrent-To", capture), *common, ("Content-Type", F.lit("application/http; msgtype=request"))],
+        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", of("request")), ("WARC-Concurrent-To", capture), *common, ("Content-Type", F.lit("application/http; msgtype=request"))],
         F.concat(F.lit("GET "), F.regexp_replace(uri, r"\s", "+"), F.lit(" HTTP/1.1\r\n\r\n")),
     )
-    about = F.concat_ws(
-        "\r\n",
-        F.concat(F.lit("page_id: "), F.col("page_id").cast("string")),
-        F.concat(F.lit("refers_to_page_id: "), F.col("response.page_id").cast("string")),
-        F.lit("fetched: yes"),
-    )
     metadata = _record(
-        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _id("metadata", F.col("page_id"), F.col("url"), F.col("digest"))), ("WARC-Concurrent-To", capture), *common, ("Content-Type", F.lit("application/warc-fields"))],
-        about,
+        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", of("metadata")), ("WARC-Concurrent-To", capture), *common, ("Content-Type", F.lit("application/warc-fields"))],
+        F.concat_ws("\r\n", F.concat(F.lit("page_id: "), F.col("page_id").cast("string")), F.lit("fetched: yes")),
     )
-    return c.select(F.array(request, main, metadata).alias("records"))
+    responses = c.filter(~revisit).join(payloads.hint("merge"), "same").select(main("response", [], F.concat(head, F.col("html"))).alias("value"), "payload_bytes")
+    others = c.select(F.explode(F.array_compact(F.array(request, F.when(revisit, revisits), metadata))).alias("value"))
+    return responses, others
 
 
-def write_archives(captures: DataFrame, path: str, *, min_revisit_bytes: int = MIN_REVISIT_BYTES, file_records: int = FILE_RECORDS) -> None:
-    """Write the captures' records as WARC files below path.
+def write_archives(captures: DataFrame, path: str, *, min_revisit_bytes: int = MIN_REVISIT_BYTES, file_bytes: int = FILE_BYTES, file_records: int = FILE_RECORDS) -> None:
+    """Write the captures' records as WARC files below path: those with payloads in one folder, the others in another.
 
-    The sink's own commit makes the files whole or absent when an executor is lost.
+    A file of payloads holds as many as take file_bytes on average. The sink's own
+    commit makes the files whole or absent when an executor is lost.
     """
-    (
-        records(captures, min_revisit_bytes=min_revisit_bytes)
-        .select(F.explode("records").alias("value"))
-        .write.option("lineSep", RECORD_END).option("maxRecordsPerFile", file_records).option("compression", "gzip").text(path)
-    )
+    responses, others = records(captures, min_revisit_bytes=min_revisit_bytes)
+    mean = captures.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)))).first()[0] or 0
+    most = max(1, min(file_records, int(file_bytes / (mean + 1_000))))
+    for name, rows, n in (("payloads", responses.select("value"), most), ("others", others, file_records)):
+        rows.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", n).option("compression", "gzip").text(f"{path}/{name}")
 
 
 def open_archive(content: bytes) -> BinaryIO:
@@ -196,7 +203,7 @@ def read_archives(spark: SparkSession, path: str, *, payloads: bool = True) -> D
     Files come through Spark's binaryFile source; a task holds one file at a time.
     Digests of responses are checked; a damaged archive is an error.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
     kinds = [
         *[(n, pa.string()) for n in ("record_id", "type", "concurrent_to", "refers_to", "target_uri", "date", "payload_digest")],
         ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("fields", pa.map_(pa.string(), pa.string())),
@@ -246,14 +253,28 @@ def assemble(rows: DataFrame) -> DataFrame:
     )
 
 
+def with_originals(captures: DataFrame) -> DataFrame:
+    """Assembled captures with ``original``: what a revisit refers to by its WARC-Refers-To.
+
+    original: record_id, target_uri, fields of its metadata; null for captures that are
+    no revisits, and where the original isn't there. The join is by record id; captures
+    that are no revisits have a key of their own, and Spark may split the revisits of
+    one original.
+    """
+    known = captures.filter(F.col("response.type") == "response").select(
+        F.col("record_id").alias("__of"), F.struct("record_id", "response.target_uri", "metadata.fields").alias("original"))
+    refers = F.coalesce(F.col("response.refers_to"), F.concat(F.lit("-"), "record_id"))
+    return captures.withColumn("__refers", refers).join(known.hint("merge"), F.col("__refers") == F.col("__of"), "left").drop("__refers", "__of")
+
+
 def op3_warc_transactions(spark, sf_dir):
     path = new_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    captures = assemble(read_archives(spark, path, payloads=False))
-    field = lambda name: F.try_element_at("metadata.fields", F.lit(name)).cast("long")
-    return captures.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
-        field("page_id").alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), field("refers_to_page_id").alias("refers_to"),
-        F.col("response.target_uri").alias("target_uri"), F.col("request").isNotNull().alias("has_request"),
+    captures = with_originals(materialize(assemble(read_archives(spark, path, payloads=False)), "transactions"))
+    page_id = lambda fields: F.try_element_at(fields, F.lit("page_id")).cast("long")
+    return captures.select(
+        page_id("metadata.fields").alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"),
+        page_id("original.fields").alias("refers_to"), F.col("response.target_uri").alias("target_uri"), F.col("request").isNotNull().alias("has_request"),
     )
 
 
