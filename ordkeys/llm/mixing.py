@@ -10,10 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordkeys.llm.common import MAX_BUCKETS, materialize, n_words
-
-#: Rows that one sub-range of a source holds on average.
-ROWS_PER_BUCKET = 2_000
+from ordkeys.llm.common import materialize, n_words, ranged
 
 
 def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
@@ -59,7 +56,6 @@ def mix_sources(
     share: float = 1.5,
     cap: int = 2,
     seed: str = "mix",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """How many words of each document the mix takes.
 
@@ -75,43 +71,32 @@ def mix_sources(
     follow each other. Empty table: empty result. All sizes 0: targets 0.
 
     Scale: one narrow row (doc_id, source, size) per document is written and
-    shuffled, never text. A source is cut by key into at most 65,536 sub-ranges, so
-    that no task sorts a whole source; prefix sums of the sub-ranges' totals give
-    the offsets. Equal rows are counted before the shuffle.
+    shuffled, never text. All rows are dealt into ranges of (source, key), so that no
+    task sorts a whole source, nor all rows of one document; prefix sums of the ranges'
+    totals give the offsets. What goes by source alone is one row for each.
     """
     sizes = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     targets = materialize(source_targets(sizes, weights=weights, share=share, cap=cap), "mix-targets")
-    n_buckets = F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("n_rows") / rows_per_bucket)).cast("long")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    head = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    rows = (
-        sizes.groupBy("source", "doc_id", "size").agg(F.count("*").alias("copies"))
-        .alias("d")
-        .join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-        .select("d.*", "source_size", "target", n_buckets.alias("n_buckets"), key.alias("key"))
-        .withColumn("bucket", F.shiftright(head * F.col("n_buckets"), 32))
-        .withColumn("weighs", F.col("size") * F.col("copies"))
-    )
-    by_range = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size")
-    in_range = rows.withColumn("before", F.sum("weighs").over(by_range) - F.col("weighs"))
-    of_source = Window.partitionBy("source").orderBy("bucket")
+    rows = ranged(sizes.withColumn("key", key), ["source", "key", "doc_id", "size"], "mix-ranges")
+    own = Window.partitionBy("range", "source").orderBy("row")
+    before = rows.withColumn("before", F.sum("size").over(own) - F.col("size"))
+    upto = Window.partitionBy("source").orderBy("range")
     offsets = (
-        rows.groupBy("source", "bucket").agg(F.sum("weighs").alias("range_size"))
-        .select("source", "bucket", (F.sum("range_size").over(of_source) - F.col("range_size")).alias("offset"))
+        rows.groupBy("source", "range").agg(F.sum("size").alias("n"))
+        .select(F.col("source").alias("s"), F.col("range").alias("g"), (F.sum("n").over(upto) - F.col("n")).alias("offset"))
+        .join(targets.select(F.col("source").alias("t"), "source_size", "target"), F.col("s").eqNullSafe(F.col("t")))
     )
     size, source_size = F.col("size"), F.col("source_size")
     budget = F.floor("target").cast("long")
     epochs = F.when(source_size > 0, F.floor(budget / source_size)).otherwise(F.lit(0)).cast("long")
-    before = F.col("offset") + F.col("before") + F.col("copy") * size
     rest = F.col("budget") - F.col("epochs") * source_size
     return (
-        in_range.alias("r")
-        .join(offsets.alias("o"), F.col("r.source").eqNullSafe(F.col("o.source")) & (F.col("r.bucket") == F.col("o.bucket")))
-        .select("r.*", "offset", budget.alias("budget"), epochs.alias("epochs"))
-        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        before.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("g")))
+        .select("doc_id", "source", "size", "source_size", "target", (F.col("offset") + F.col("before")).alias("at"), budget.alias("budget"), epochs.alias("epochs"))
         .select(
             "doc_id", "source", "size", "source_size", "target",
-            (F.col("epochs") * size + F.greatest(F.lit(0), F.least(size, rest - before))).cast("long").alias("taken"),
+            (F.col("epochs") * size + F.greatest(F.lit(0), F.least(size, rest - F.col("at")))).cast("long").alias("taken"),
         )
     )
 

@@ -14,9 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordkeys.llm.common import MAX_BUCKETS, materialize
-
-ROWS_PER_BUCKET = 2_000
+from ordkeys.llm.common import materialize, ranged
 
 
 @dataclass(frozen=True)
@@ -89,7 +87,7 @@ def shard_of(key: list[Column], tree: tuple[Shard, ...]) -> Column:
     return _winner(key, regions).cast("int")
 
 
-def assign_shards(docs: DataFrame, *, n_shards: int = 8, tree: tuple[Shard, ...] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def assign_shards(docs: DataFrame, *, n_shards: int = 8, tree: tuple[Shard, ...] | None = None) -> DataFrame:
     """Shard and place in the shard of every document, under the law ``key``.
 
     docs: doc_id, text; other columns are ignored. tree: the shards in use, by default
@@ -101,9 +99,9 @@ def assign_shards(docs: DataFrame, *, n_shards: int = 8, tree: tuple[Shard, ...]
     Equal rows get different slots. Empty table: empty result.
 
     Scale: text is reduced to size and CRC in the scan; what moves is a row of
-    numbers. Slots come from counts of at most 65,536 hash buckets a shard, whose
-    prefix sums are the offsets of ranks within the buckets. Equal rows are counted
-    before the shuffle, so that a document repeated endlessly is one row there.
+    numbers. Rows are dealt into ranges of (shard, hash) and numbered there as they are
+    written; a shard's rows in the ranges before are the offset. So neither a large
+    shard nor a document repeated endlessly fills one task.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     key = [F.col("doc_id")]
@@ -118,26 +116,14 @@ def assign_shards(docs: DataFrame, *, n_shards: int = 8, tree: tuple[Shard, ...]
         ),
         "shards",
     )
-    n_buckets = min(MAX_BUCKETS, max(1, -(-base.count() // (len(tree) * rows_per_bucket))))
-    own = ["doc_id", "size", "text_crc32", "shard", "grown_shard"]
-    rows = (
-        base.groupBy(*own).agg(F.count("*").alias("copies"))
-        .withColumn("bucket", F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "size", "text_crc32"), F.lit(n_buckets)))
-    )
+    rows = ranged(base.withColumn("hash", F.xxhash64(F.lit("slot"), "doc_id", "size", "text_crc32")), ["shard", "hash", "doc_id"], "shard-ranges")
+    upto = Window.partitionBy("shard").orderBy("range")
     offsets = (
-        rows.groupBy("shard", "bucket").agg(F.sum("copies").alias("n"))
-        .withColumn("offset", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n"))
-        .drop("n")
+        rows.groupBy("shard", "range").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+        .withColumn("offset", F.sum("n").over(upto) - F.col("n")).drop("n")
     )
-    in_bucket = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
-    return (
-        rows.withColumn("before", F.sum("copies").over(in_bucket) - F.col("copies"))
-        .join(offsets, ["shard", "bucket"])
-        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-        .select(
-            "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-            (F.col("offset") + F.col("before") + F.col("copy")).alias("slot"), "grown_shard",
-        )
+    return rows.join(offsets, ["shard", "range"]).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("row") - F.col("first")).alias("slot"), "grown_shard",
     )
 
 

@@ -33,7 +33,7 @@ def rows():
 
 def test_targets_and_cuts(spark, rows):
     docs = documents(spark, rows)
-    got = [r.asDict() for r in mixing.mix_sources(docs, rows_per_bucket=20).collect()]
+    got = [r.asDict() for r in mixing.mix_sources(docs).collect()]
     assert Counter((r["doc_id"], r["source"], r["size"]) for r in got) == Counter((i, s, len(words(t))) for i, t, s in rows)
     sizes = defaultdict(int)
     for _, t, s in rows:
@@ -44,7 +44,7 @@ def test_targets_and_cuts(spark, rows):
         assert 0 <= r["taken"] <= 2 * r["size"]
         taken[r["source"]] += r["taken"]
     assert taken == {s: int(want[s] + 1e-9) for s in sizes}
-    again = mixing.mix_sources(docs.repartition(7), rows_per_bucket=500)
+    again = mixing.mix_sources(docs.repartition(7))
     assert collected(again, "doc_id", "size", "taken") == sorted(((r["doc_id"], r["size"], r["taken"]) for r in got), key=str)
 
 
@@ -81,7 +81,7 @@ def shard_rows(spark, n=3000):
 
 def test_shards_slots_and_growth(spark):
     docs = shard_rows(spark)
-    got = [r.asDict() for r in sharding.assign_shards(docs, rows_per_bucket=20).collect()]
+    got = [r.asDict() for r in sharding.assign_shards(docs).collect()]
     want = Counter((i, len((t or "").encode()) + 1, crc32((t or "").encode())) for i, t, *_ in [r[:3] for r in map(tuple, docs.select("doc_id", "text").collect())])
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
     by_shard = defaultdict(list)
