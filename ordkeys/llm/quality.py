@@ -1,8 +1,8 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer numpy network.
 
 Words and their endings are hashed to rows. Each row has a sparse ternary index vector
-made by a rule; its word vector adds the index vectors of its neighbours in a sample of
-labelled documents. A document is the mean of its words' vectors, the mean's length,
+made by a rule; its word vector adds the index vectors of its neighbours in all
+documents. A document is the mean of its words' vectors, the mean's length,
 its number of words, and how often a word's index vector is that of the word one to
 four before. The network's logit is divided by a temperature fitted on
 documents that training did not see.
@@ -27,7 +27,7 @@ ROWS, DIMS, NONZERO = 8_192, 64, 6
 AGAIN = 4
 #: Bytes of an ending.
 ENDING = 2
-#: Most labelled documents that the classifier is fitted on: those with the smallest hashes of doc_id.
+#: Most labelled documents that the network and its temperature are fitted on: those with the smallest hashes of doc_id. Word vectors come from all documents.
 MAX_SAMPLE = 8_000
 #: Least score of a document predicted to be good.
 THRESHOLD = 0.7
@@ -56,20 +56,26 @@ def word_rows(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 def context_sums(texts: list[str | None], index: np.ndarray) -> np.ndarray:
     """For each row the sum of the index vectors of the two words on either side, over all texts."""
-    out = np.zeros(index.shape, np.int32)
+    out = np.zeros(index.shape, np.int64)
+    blank = len(index)  # a row of zeros; two stand between texts
+    padded = np.concatenate((index, np.zeros((1, index.shape[1])))).astype(np.int8)
+    gap = np.full(2, blank, np.int16)
+    held = [(gap, gap)]
     for text in texts:
-        all_words, all_ends = word_rows(text)
-        for start in range(0, len(all_words), _CHUNK):
-            lo = max(0, start - 2)
-            words, ends = all_words[lo : start + _CHUNK + 2], all_ends[lo : start + _CHUNK + 2]
-            near = np.zeros((len(words) + 4, index.shape[1]), np.int32)
-            near[2:-2] = index[words]
-            around = near[:-4] + near[1:-3] + near[3:-1] + near[4:]
-            own = slice(start - lo, start - lo + min(_CHUNK, len(all_words) - start))
-            for rows in (words[own], ends[own]):
-                order = np.argsort(rows, kind="stable")
-                found, first = np.unique(rows[order], return_index=True)
-                out[found] += np.add.reduceat(around[own][order], first)
+        words, ends = word_rows(text)
+        held += [(words.astype(np.int16), ends.astype(np.int16)), (gap, gap)]
+    all_words, all_ends = (np.concatenate(x) for x in zip(*held, strict=True))
+    last = len(all_words) - 2
+    for start in range(2, last, _CHUNK):
+        stop = min(start + _CHUNK, last)
+        near = padded[all_words[start - 2 : stop + 2]]
+        around = near[:-4] + near[1:-3] + near[3:-1] + near[4:]
+        for rows in (all_words[start:stop], all_ends[start:stop]):
+            order = np.argsort(rows, kind="stable")
+            found, first = np.unique(rows[order], return_index=True)
+            sums = np.add.reduceat(around[order], first, axis=0, dtype=np.int32)
+            real = found < blank
+            out[found[real]] += sums[real]
     return out
 
 
@@ -154,33 +160,62 @@ def sample_of(docs: DataFrame, labels: DataFrame, *, max_sample: int = MAX_SAMPL
     """doc_id, text, label of at most max_sample labelled documents, those with the smallest hashes of doc_id.
 
     labels: doc_id, quality; rows with nulls are left out, repeated ids count once
-    (the smaller label). The ids that are broadcast are at most max_sample.
+    (the smaller label). Of documents that share an id, the one whose text has the
+    smallest hash counts. So neither the ids, which are broadcast, nor the rows are
+    more than max_sample.
     """
     ids = (
         labels.select("doc_id", F.col("quality").alias("label")).dropna()
         .groupBy("doc_id").agg(F.min("label").alias("label"))
         .orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(max_sample)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(materialize(ids, "sample-ids")), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(materialize(ids, "sample-ids")), "doc_id")
+    one = F.min_by(F.struct("text", "label"), F.struct(F.xxhash64("text"), "text")).alias("one")
+    return found.groupBy("doc_id").agg(one).select("doc_id", "one.text", "one.label")
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_sample: int = MAX_SAMPLE) -> Classifier:
-    """Fit on a bounded sample of labelled documents; what comes to the driver is bounded by the sample and by ROWS * DIMS."""
+def corpus_vectors(docs: DataFrame) -> np.ndarray:
+    """Word vectors with the contexts of all documents.
+
+    Each task hands on one table of fixed size. Tables are summed in two levels: first
+    as many together as Spark finds fit for a task, then by eight tasks.
+    """
     spark = docs.sparkSession
-    sample = materialize(sample_of(docs, labels, max_sample=max_sample), "sample").repartition(8, "doc_id")
     index = index_vectors()
-    shared_index = spark.sparkContext.broadcast(index)
+    shared = spark.sparkContext.broadcast(index)
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shared_index.value.shape, np.int32)
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shared.value.shape, np.int64)
+        seen = False
+        for batch in batches:
+            total += context_sums(batch.column("text").to_pylist(), shared.value)
+            seen = True
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shared.value.size, np.int64)
+        seen = False
         for batch in batches:
-            total += context_sums(batch.column("text").to_pylist(), shared_index.value)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+            for x in batch.column("sums"):
+                total += np.frombuffer(x.as_buffer(), np.int64)
+                seen = True
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    total = np.zeros(index.shape, np.int64)
-    for row in sample.select("text").mapInArrow(sums, "sums binary").toLocalIterator():  # at most eight
-        total += np.frombuffer(row.sums, np.int32).reshape(index.shape)
-    vectors = word_vectors(total, index)
+    sums = docs.select("text").mapInArrow(own, "sums binary")
+    sums = sums.repartition(F.spark_partition_id()).mapInArrow(summed, "sums binary")
+    total = np.zeros(index.size, np.int64)
+    for row in sums.repartition(8).mapInArrow(summed, "sums binary").toLocalIterator():  # at most eight
+        total += np.frombuffer(row.sums, np.int64)
+    return word_vectors(total.reshape(index.shape), index)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, max_sample: int = MAX_SAMPLE) -> Classifier:
+    """Word vectors from all documents, network from a bounded sample of labelled ones; what comes to the driver is bounded by the sample and by ROWS * DIMS."""
+    spark = docs.sparkSession
+    sample = materialize(sample_of(docs, labels, max_sample=max_sample), "sample").repartition(8, "doc_id")
+    vectors = corpus_vectors(docs)
     shared = spark.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

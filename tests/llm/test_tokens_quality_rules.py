@@ -139,7 +139,7 @@ def test_context_sums_by_brute_force():
                 if 0 <= j < len(w):
                     want[w[i]] += index[w[j]]
                     want[e[i]] += index[w[j]]
-    assert (quality.context_sums(texts[:4], index) == want).all()
+    assert (quality.context_sums(texts[:4], index) == want).all() and not quality.context_sums([None], index).any()
     whole = quality.context_sums([LONG], index)
     old = quality._CHUNK
     quality._CHUNK = 1_000
@@ -151,6 +151,18 @@ def test_context_sums_by_brute_force():
     assert np.allclose(part, quality.pooled(LONG, quality.word_vectors(whole, index)), atol=1e-5)
 
 
+def test_word_vectors_take_all_documents_and_samples_are_bounded(spark):
+    rows = [(i, f"alpha beta w{i % 7} gamma", "s") for i in range(50)] + [(1, "alpha again", "s")] * 300
+    docs = documents(spark, rows)
+    index = quality.index_vectors()
+    want = quality.word_vectors(quality.context_sums([t for _, t, _ in rows], index), index)
+    assert np.array_equal(quality.corpus_vectors(docs.repartition(5)), want)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    for most in (2, 1_000):
+        got = quality.sample_of(docs, labels, max_sample=most).collect()
+        assert len(got) == min(most, 50) and len({r.doc_id for r in got}) == len(got)
+
+
 def brute_rules(text):
     text = text or ""
     w = words(text)
