@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ordkeys.llm.common import materialize
+
 #: Consecutive words of an item that make a window.
 WINDOW = 8
 #: Items whose windows occur from which a document counts as contaminated.
 MIN_ITEMS = 2
-#: UTF-8 bytes of items in one automaton; more items go into further automata, which each batch passes one after the other.
-MAX_BLOCK_BYTES = 16_000_000
+#: UTF-8 bytes of items in one automaton, which takes some 400 times as many in each worker. More items go into further automata, one pass over the texts each.
+MAX_BLOCK_BYTES = 500_000
 
 #: Of UTF-8 bytes: A-Z lowered, digits, a-z and all of non-ASCII characters kept, others blanks. Byte offsets stay.
 _FLAT = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -66,45 +69,66 @@ _built: dict[str, Automaton] = {}
 
 
 def _automaton(key: str, shared, window: int) -> Automaton:
-    """Of one block; a worker keeps the last one that it built."""
+    """A worker keeps the last one that it built; a pass needs no other."""
     if key not in _built:
         _built.clear()
         _built[key] = Automaton(shared.value, window)
     return _built[key]
 
 
-def _item_blocks(items: DataFrame, max_block_bytes: int) -> list[list[tuple[int, str | None]]]:
-    """Items in blocks of bounded size, read one after the other. A benchmark is a small, curated table; its blocks are what is broadcast."""
-    blocks: list[list] = [[]]
-    held = 0
-    for row in items.select("item_id", "text").toLocalIterator():
-        n = len((row.text or "").encode("utf-8", "surrogatepass"))
-        if blocks[-1] and held + n > max_block_bytes:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((row.item_id, row.text))
-        held += n
-    return blocks
-
-
-def _shared_blocks(items: DataFrame, max_block_bytes: int) -> list[tuple[str, object]]:
-    """A key of its own and the broadcast of each block."""
-    context = items.sparkSession.sparkContext
-    return [(uuid.uuid4().hex, context.broadcast(b)) for b in _item_blocks(items, max_block_bytes)]
-
-
-def _scan_batch(texts: list[str | None], blocks: list[tuple[str, object]], window: int) -> list[dict]:
-    split = [flat(t).split() if t else [] for t in texts]
-    out = [{"n_words": len(w), "items": set(), "runs": []} for w in split]
-    for key, shared in blocks:
-        machine = _automaton(key, shared, window)
-        for w, o in zip(split, out, strict=True):
-            for first, end, places in machine.scan(w):
-                o["runs"].append((first, end))
-                o["items"].update(machine.items[p] for p in places)
+def _n_blocks(items: DataFrame, max_block_bytes: int) -> int:
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return 1 if total <= max_block_bytes else -(-3 * total // (2 * max_block_bytes))
+
+
+def _shared_block(items: DataFrame, k: int, n: int) -> tuple[str, object]:
+    """A key of its own and the broadcast of one of n blocks of items, dealt by a hash. The driver holds no more than a block."""
+    block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).select("item_id", "text").collect()
+    return uuid.uuid4().hex, items.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in block])
+
+
+def _scan_batch(texts: list[str | None], block: tuple[str, object], window: int) -> list[dict]:
+    machine = _automaton(*block, window)
+    out = []
+    for t in texts:
+        words = flat(t).split() if t else []
+        found = machine.scan(words)
+        out.append({"n_words": len(words), "items": list({machine.items[p] for *_, places in found for p in places}), "runs": [(first, end) for first, end, _ in found]})
     return out
 
 
+_RUNS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
+def _found(rows: DataFrame, items: DataFrame, n: int, window: int) -> DataFrame:
+    """__row, items, runs of the rows (__row, text) with hits: one pass, written, for each of n blocks of items."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = items.schema["item_id"].dataType
+    parts = []
+    for k in range(n):
+        block = _shared_block(items, k, n)
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = _scan_batch(batch.column("text").to_pylist(), block, window)
+                hit = [i for i, f in enumerate(found) if f["runs"]]
+                runs = [[{"first": a, "end": b} for a, b in found[i]["runs"]] for i in hit]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("__row").take(pa.array(hit, pa.int64())), pa.array([found[i]["items"] for i in hit], pa.list_(to_arrow_type(kind))), pa.array(runs, _RUNS)], ["__row", "items", "runs"]
+                )
+
+        part = rows.select("__row", "text").mapInArrow(run, f"__row bigint, items array<{kind.simpleString()}>, runs array<struct<first:bigint,end:bigint>>")
+        parts.append(materialize(part, "hits"))
+        block[1].destroy()
+    return reduce(DataFrame.unionByName, parts).groupBy("__row").agg(
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("runs")).alias("runs"))
+
+
 def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for first, end in sorted(runs):
@@ -136,49 +160,67 @@ def scan_documents(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, m
     Null or empty text: no words, no hits. Null or empty items have no window.
     Repeated items or windows count once. Empty benchmark: no hits.
 
-    Scale: one pass over the texts, no shuffle. The automaton holds the benchmark
-    only; past max_block_bytes further automata are built one after the other.
+    Scale: one pass over the texts, no shuffle, for a benchmark of up to
+    max_block_bytes. A larger one is dealt into blocks; each is scanned for in a pass of
+    its own, whose hits are written, so that a worker holds one automaton of bounded
+    size and the driver one block.
     """
-    shared = _shared_blocks(items, max_block_bytes)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    n = _n_blocks(items, max_block_bytes)
+    block = _shared_block(items, 0, 1) if n == 1 else None
     kind = dict(docs.dtypes)["doc_id"]
     item_kind = items.schema["item_id"].dataType
     schema = f"doc_id {kind}, n_words bigint, n_hit bigint, items array<{item_kind.simpleString()}>, spans array<struct<start:bigint,end:bigint>>"
+    if block:
+        rows = docs.select("doc_id", "text")
+    else:
+        own = _numbered(docs.select("doc_id", "text"))
+        rows = own.join(_found(own, items, n, window).hint("merge"), "__row", "left").select("doc_id", "text", "items", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
-
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            found = _scan_batch(texts, shared, window)
+            if block:
+                found = _scan_batch(texts, block, window)
+            else:
+                pairs = zip(batch.column("items").to_pylist(), batch.column("runs").to_pylist(), strict=True)
+                found = [{"n_words": len(flat(t).split()) if t else 0, "items": i or [], "runs": [(r["first"], r["end"]) for r in x or []]} for t, (i, x) in zip(texts, pairs, strict=True)]
             runs = [_merged(f["runs"]) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array([f["n_words"] for f in found], pa.int64()),
                     pa.array([sum(b - a for a, b in r) for r in runs], pa.int64()),
-                    pa.array([list(f["items"]) for f in found], pa.list_(to_arrow_type(item_kind))),
+                    pa.array([f["items"] for f in found], pa.list_(to_arrow_type(item_kind))),
                     pa.array([_offsets(t, r) if r else [] for t, r in zip(texts, runs, strict=True)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 ],
                 ["doc_id", "n_words", "n_hit", "items", "spans"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, min_items: int = MIN_ITEMS, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """The documents without a passage of the benchmark, with all their columns.
 
     A document goes if a whole window of any item occurs in it. Items of fewer words
-    than a window may occur by chance; such ones count from min_items items on.
+    than a window may occur by chance; such ones count from min_items items on. Passes
+    are as in scan_documents.
     """
-    shared = _shared_blocks(items, max_block_bytes)
+    n = _n_blocks(items, max_block_bytes)
+    if n > 1:
+        rows = _numbered(docs)
+        bad = (F.size("items") >= min_items) | F.exists("runs", lambda r: r["end"] - r["first"] >= window)
+        return rows.join(_found(rows, items, n, window).filter(bad).hint("merge"), "__row", "left_anti").drop("__row")
+    block = _shared_block(items, 0, 1)
 
     def clean(found: dict) -> bool:
         return len(found["items"]) < min_items and all(end - first < window for first, end in found["runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _scan_batch(batch.column("text").to_pylist(), shared, window)
+            found = _scan_batch(batch.column("text").to_pylist(), block, window)
             yield batch.filter(pa.array([clean(f) for f in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
