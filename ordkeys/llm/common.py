@@ -10,6 +10,9 @@ from ordkeys.functions.storage import materialize, new_path  # noqa: F401
 #: A word: a run of characters other than the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: A key with one of so many parts of all rows, or more, is dealt to several tasks in joins; but none with fewer rows than the least.
+HOT_PARTS, HOT_LEAST = 200, 2_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,3 +42,21 @@ def ranged(df: DataFrame, order: list[str], name: str) -> DataFrame:
     tied = df.withColumn("__tie", F.xxhash64(F.monotonically_increasing_id()))
     dealt = tied.repartitionByRange(*order, "__tie").sortWithinPartitions(*order, "__tie").drop("__tie")
     return materialize(dealt.select("*", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("row")), name)
+
+
+def hot_join(rows: DataFrame, others: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """rows joined with others, whose key is unique, on key: by sort and merge, without a task that gets all rows of a frequent key.
+
+    Such a key's rows are dealt out by a hash of ``by``, and its one row of others is
+    repeated as often. At most HOT_PARTS keys are frequent, so their list is small.
+    rows should be written, as it is read twice.
+    """
+    least = max(HOT_LEAST, -(-rows.count() // HOT_PARTS))
+    hot = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") >= least).collect()  # at most HOT_PARTS rows
+    if not hot:
+        return rows.join(others.hint("merge"), key, how)
+    salts = rows.sparkSession.createDataFrame([(r[key], -(-r["__n"] // least)) for r in hot], f"`{key}` {dict(rows.dtypes)[key]}, __salts int")
+    n = F.coalesce("__salts", F.lit(1))
+    left = rows.join(F.broadcast(salts), key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), n).cast("int")).drop("__salts")
+    right = others.join(F.broadcast(salts), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("__salts")
+    return left.join(right.hint("merge"), [key, "__salt"], how).drop("__salt")

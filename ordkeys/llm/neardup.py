@@ -12,8 +12,10 @@
    labels that the sketches don't tell apart for sure.
 
 So a group of copies costs one confirmed pair per class, not one per pair. Sketches
-are compared all with all only between labels, and large buckets are cut into slices
-for it, so that a task holds two slices at a time.
+are compared all with all only between labels: those of a bucket's most frequent label
+with the others, and the others with each other. For it buckets are cut into slices, so
+that a task holds two slices at a time. Joins by leaders, buckets, centres of stars and
+copies deal frequent keys to several tasks.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordkeys.llm.common import materialize, n_words
+from ordkeys.llm.common import hot_join, materialize, n_words
 
 #: Words of a shingle; least similarity, in hundredths.
 SHINGLE, SIMILAR = 5, 75
@@ -41,7 +43,7 @@ MARGIN = 5.0
 #: Samples and bits of the wider sketches, and their margin.
 WIDE_SAMPLES, WIDE_BITS, WIDE_MARGIN = 1024, 2048, 4.0
 #: Classes of a bucket that are compared at a time.
-SLICE = 2_048
+SLICE = 1_024
 #: Bits of the filter that keeps texts without candidates out of the shuffle; it only saves work.
 FILTER_BITS = 1 << 22
 
@@ -179,9 +181,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(stars.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = hot_join(both, least, "u", "v").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialize(large, "large-stars")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        small = hot_join(large, low, "a", "b").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         stars, now = drawn(small)
         if now == mark:
             break
@@ -225,12 +228,13 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar."""
+    """The pairs (a, b), written, whose full sets are similar."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    held = materialize(hot_join(pairs, left, "a", "b"), "half-pairs")
     both = F.size(F.array_intersect("sa", "sb"))
     return (
-        pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+        hot_join(held, right, "b", "a")
         .select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sizes"))
         .filter(100 * F.col("both") >= SIMILAR * (F.col("sizes") - F.col("both")))
         .select("a", "b")
@@ -260,6 +264,8 @@ def near_pairs(key: int, node: np.ndarray, label: np.ndarray, part: np.ndarray,
     """
     limit = max_distance(WIDE_SAMPLES, WIDE_BITS, WIDE_MARGIN)
     found = ([], [], [])
+    if across and part.min() == part.max():  # the other slice has no class
+        return node[:0], node[:0], np.zeros(0, np.int32)
     columns = np.flatnonzero(part == part.max()) if across else np.arange(len(node))
     rows = np.flatnonzero(part == part.min()) if across else columns
     for start in range(0, len(rows), 64):
@@ -294,16 +300,20 @@ def near_pairs(key: int, node: np.ndarray, label: np.ndarray, part: np.ndarray,
 
 
 def _open_pairs(opened: DataFrame, payload: DataFrame, *, nearest: bool) -> DataFrame:
-    """a, b, far of the buckets in opened (key, node, label, n). payload: node, bands, wide.
+    """a, b, far of the buckets in opened (key, node, label, major, n, n_major). payload: node, bands, wide.
 
-    A bucket of more than SLICE classes is cut into slices by a hash; each pair of
-    slices is a cell of its own, dealt out apart.
+    A bucket's classes of labels other than the major one are cut into slices by a
+    hash, and so are those of the major label. Each pair of slices is a cell of its
+    own, dealt out apart; major slices don't meet each other.
     """
-    n_slices = F.ceil(F.col("n") / SLICE).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
+    minor = F.ceil((F.col("n") - F.col("n_major")) / SLICE).cast("int")
+    major = F.ceil(F.col("n_major") / SLICE).cast("int")
+    at_home = F.col("label") == F.col("major")
+    own = F.when(at_home, F.col("minor") + F.pmod(F.xxhash64("node"), F.col("slices") - F.col("minor"))).otherwise(F.pmod(F.xxhash64("node"), F.col("minor"))).cast("int")
+    last = F.when(at_home, F.col("minor")).otherwise(F.col("slices")) - 1
     cells = (
-        opened.join(payload.hint("merge"), "node").withColumn("slices", n_slices).withColumn("part", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        opened.join(payload.hint("merge"), "node").withColumn("minor", minor).withColumn("slices", F.col("minor") + major).withColumn("part", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), last)))
         .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "label", "part", "bands", "wide")
         .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     )
@@ -339,29 +349,31 @@ def _open_pairs(opened: DataFrame, payload: DataFrame, *, nearest: bool) -> Data
 
 def _connect(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """node, label of the classes that are linked with others. reps: node, doc_id, digest, bands, sketch."""
-    members = reps.select("node", F.explode("bands").alias("key"))
+    members = materialize(reps.select("node", F.explode("bands").alias("key")), "members")
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = materialize(members.join(sizes.hint("merge"), "key"), "buckets")
+    buckets = materialize(hot_join(members, sizes, "key", "node"), "buckets")
     central = buckets.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree"))
     leaders = buckets.join(central.hint("merge"), "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top")).select("key", F.col("top.node").alias("leader"))
 
     # every class with the leader that it shares most bands with
     best = (
-        buckets.join(leaders.hint("merge"), "key").filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
+        hot_join(buckets, leaders, "key", "node").filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
         .groupBy("node").agg(F.max(F.struct("n", "leader")).alias("top"))
         .select(F.col("node").alias("a"), F.col("top.leader").alias("b"))
     )
-    x, y = (reps.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}")).hint("merge") for n in "ab")
-    first = materialize(best.join(x, "a").join(y, "b").filter(_near(F.col("sa"), F.col("sb"))).select("a", "b"), "pairs")
+    x, y = (reps.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}")) for n in "ab")
+    best = materialize(best.join(x.hint("merge"), "a"), "best")
+    first = materialize(hot_join(best, y, "b", "a").filter(_near(F.col("sa"), F.col("sb"))).select("a", "b"), "pairs")
     wanted = buckets.select("node").distinct().join(reps.select("node", "doc_id", "digest").hint("merge"), "node")
     sets = materialize(_sets_of(docs, wanted), "sets")
     labels = components(materialize(_confirmed(first, sets), "links"))
 
     def opened() -> DataFrame:
-        """Rows of buckets that hold several labels: key, node, n, label."""
-        now = buckets.join(labels.hint("merge"), "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-        split = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-        return now.join(split.hint("merge"), "key")
+        """Rows of buckets that hold several labels: key, node, n, label; the label most classes have, and how many."""
+        now = materialize(buckets.join(labels.hint("merge"), "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")), "labelled")
+        per = now.groupBy("key", "label").agg(F.count("*").alias("m"))
+        split = per.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("m", "label")).alias("top")).filter("k > 1")
+        return hot_join(now, split.select("key", F.col("top.label").alias("major"), F.col("top.m").alias("n_major")), "key", "node")
 
     still = materialize(opened(), "open")
     own = still.select("node").distinct()
@@ -393,10 +405,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     threshold shares no band with a chance of 2e-5, and its wider sketches are taken
     for too far with one of 3e-5; more similar pairs are missed far more rarely.
 
-    Scale: nothing is collected. Buckets and copies are pre-aggregated; what is
-    shuffled is band keys, and the texts of documents that share a band.
+    Scale: nothing is collected but lists of frequent keys, at most HOT_PARTS each.
+    Buckets and copies are pre-aggregated; what is shuffled is band keys, and the texts
+    of documents that share a band. Documents without words are in no join.
     """
-    base = materialize(sketch_documents(docs), "sketches")
+    base = materialize(sketch_documents(docs).withColumn("row", F.monotonically_increasing_id()), "sketches")
     reps = materialize(
         base.filter("n_shingles > 0").groupBy("digest")
         .agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
@@ -407,9 +420,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = reps.select("node", "digest", "doc_id").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_class = classes.select("digest", "label").join(smallest.hint("merge"), "label").select("digest", "component_id")
-    grouped = base.select("doc_id", "n_shingles", "digest").join(of_class.hint("merge"), "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return grouped.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    own = ["doc_id", "n_shingles"]
+    grouped = hot_join(base.filter("n_shingles > 0").select(*own, "digest", "row"), of_class, "digest", "row").select(*own, "component_id")
+    alone = base.filter("n_shingles = 0").select(*own, F.col("doc_id").alias("component_id"))
+    return grouped.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def first_documents(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordkeys.llm.common import materialize, new_path
+from ordkeys.llm.common import hot_join, materialize, new_path
 
 #: What ends a record, after its block.
 RECORD_END = "\r\n\r\n"
@@ -71,8 +71,8 @@ def capture_roles(captures: DataFrame, *, min_revisit_bytes: int = MIN_REVISIT_B
     (page_id, row and url of the response, null where the capture itself is one).
 
     Equal payloads are found by SHA-256. Payloads aren't carried along: the largest id
-    of each is pre-aggregated before the shuffle, ids and digests meet in the join, and
-    Spark may split it. Rows that share the largest id are all responses.
+    of each is pre-aggregated before the shuffle, ids and digests meet in the join,
+    which deals a frequent one to several tasks. Rows that share the largest id are all responses.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     known = materialize(
@@ -84,7 +84,7 @@ def capture_roles(captures: DataFrame, *, min_revisit_bytes: int = MIN_REVISIT_B
     )
     first = known.groupBy("same").agg(F.max(F.struct("page_id", "row", "url")).alias("first"))
     own = (F.col("payload_bytes") < min_revisit_bytes) | F.col("page_id").eqNullSafe(F.col("first.page_id"))
-    return known.join(first.hint("merge"), "same").select("row", "page_id", "url", "payload_bytes", "digest", "same", F.when(~own, F.col("first")).alias("response"))
+    return hot_join(known, first, "same", "row").select("row", "page_id", "url", "payload_bytes", "digest", "same", F.when(~own, F.col("first")).alias("response"))
 
 
 def records(captures: DataFrame, *, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -258,13 +258,13 @@ def with_originals(captures: DataFrame) -> DataFrame:
 
     original: record_id, target_uri, fields of its metadata; null for captures that are
     no revisits, and where the original isn't there. The join is by record id; captures
-    that are no revisits have a key of their own, and Spark may split the revisits of
-    one original.
+    that are no revisits have a key of their own, and the revisits of one original are
+    dealt to several tasks. captures should be written, as it is read more than once.
     """
     known = captures.filter(F.col("response.type") == "response").select(
-        F.col("record_id").alias("__of"), F.struct("record_id", "response.target_uri", "metadata.fields").alias("original"))
+        F.col("record_id").alias("__refers"), F.struct("record_id", "response.target_uri", "metadata.fields").alias("original"))
     refers = F.coalesce(F.col("response.refers_to"), F.concat(F.lit("-"), "record_id"))
-    return captures.withColumn("__refers", refers).join(known.hint("merge"), F.col("__refers") == F.col("__of"), "left").drop("__refers", "__of")
+    return hot_join(captures.withColumn("__refers", refers), known, "__refers", "record_id", "left").drop("__refers")
 
 
 def op3_warc_transactions(spark, sf_dir):

@@ -1,12 +1,14 @@
 import hashlib
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from helpers import LONG, ODD, collected, documents, lower, words
+from pyspark.sql import functions as F
 
-from ordkeys.llm import decontam, neardup
+from ordkeys.llm import common, decontam, neardup
 
 ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -30,12 +32,34 @@ def test_hits_by_brute_force(spark):
     text = lambda n: "".join(r.choice(["a", "b", "Ab", "é", "9"]) + r.choice([" ", ", ", "\n", "-"]) for _ in range(n))
     items = [(i, text(r.randrange(0, 9))) for i in range(25)] + [(30, None), (31, "..."), (31, "a b"), (100, "é"), (9, "9 9")]
     rows = ODD + [(200 + i, text(r.randrange(0, 40)), "s") for i in range(60)]
-    for window, limit in ((4, 10**9), (4, 20)):  # the second in many automata
+    for window, limit in ((4, 10**9), (4, 90)):  # the second in several passes, an automaton each
         found = decontam.scan_documents(documents(spark, rows), spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, n_words int"), window=window, max_block_bytes=limit)
         got = [(x.doc_id, x.n_words, x.n_hit, len(x["items"]), ",".join(sorted(map(str, x["items"])))) for x in found.collect()]
         assert sorted(got, key=str) == sorted(((i, *brute_hits(t, items, window)) for i, t, _ in rows), key=str)
 
 
+def test_blocks_of_items_clean_as_one_automaton(spark):
+    passage = " ".join(f"p{i}" for i in range(9))
+    items = spark.createDataFrame([(1, passage), (2, "p0"), (3, "q0"), (4, "r0 r1")], "item_id long, text string")
+    docs = documents(spark, [(1, f"x {passage.upper()}", "a"), (2, "p0 alone", "a"), (3, "p0 and q0", "a"), (4, "R0, r1 p0", "a"), (5, None, "a"), (6, "r1 r0", "a")])
+    assert decontam._n_blocks(items, 10) > 3
+    for limit in (10, 10**9):
+        clean = decontam.clean_documents(docs, items, max_block_bytes=limit)
+        assert collected(clean, "doc_id") == [(2,), (5,), (6,)] and clean.columns == docs.columns
+
+
+def test_a_worker_builds_each_automaton_once(monkeypatch):
+    class Shared:
+        value = [(1, "a b"), (2, "c")]
+
+    built = []
+    monkeypatch.setattr(decontam, "Automaton", lambda items, window, make=decontam.Automaton: built.append(1) or make(items, window))
+    for key in ("one", "two"):
+        for _ in range(20):
+            decontam._scan_batch(["a b c"], (key, Shared), 8)
+    assert len(built) == 2
+
+
 def test_spans_are_of_the_original(spark):
     items = spark.createDataFrame([(1, "alpha Beta gämma"), (2, "delta")], "item_id long, text string")
     said = "«É» x ALPHA,\n\tbeta--GÄMMA; gämma! Delta\U0001f600 delta"
@@ -102,14 +126,44 @@ def near_rows():
     return rows
 
 
-def test_groups_by_brute_force(spark):
+@pytest.mark.parametrize("least", [None, 2])
+def test_groups_by_brute_force(spark, monkeypatch, least):
+    if least:  # nearly every key is dealt to several tasks, and nearly every bucket cut
+        monkeypatch.setattr(common, "HOT_LEAST", least)
+        monkeypatch.setattr(common, "HOT_PARTS", 1_000)
+        monkeypatch.setattr(neardup, "SLICE", 3)
     rows = near_rows()
     got = neardup.near_duplicates(documents(spark, rows))
     assert collected(got, "doc_id", "n_shingles", "component_id") == sorted(brute_groups(rows), key=str)
     assert all(x.kept == (None if x.component_id is None or x.doc_id is None else x.doc_id == x.component_id) for x in got.collect())
 
 
-def test_one_document_of_each_group_stays(spark):
+def test_frequent_keys_fill_no_task(spark, monkeypatch):
+    """Half of all rows have one key; the joined rows of a task are counted before anything is coalesced."""
+    monkeypatch.setattr(common, "HOT_LEAST", 100)
+    monkeypatch.setattr(common, "HOT_PARTS", 40)
+    rows = spark.range(8_000).selectExpr("id as place", "if(id % 2 = 0, 7L, if(id % 16 = 1, null, id)) as k").cache()
+    others = rows.select("k").dropna().distinct().selectExpr("k", "k * 10 as v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        for how, n in (("inner", 7_500), ("left", 8_000)):
+            out = common.hot_join(rows, others, "k", "place", how)
+            tasks = [r["count"] for r in out.filter("k is not null").groupBy(F.spark_partition_id()).count().collect()]
+            assert out.count() == n and out.filter("k is not null and not v <=> k * 10").count() == 0 and max(tasks) < 4 * sum(tasks) / 32
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_many_empty_texts_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_LEAST", 50)
+    rows = [(i, None if i % 2 else " ", "a") for i in range(900)] + [(1_000 + i, "the very same words in every row", "a") for i in range(900)] + [(5_000 + i, f"a b c d e{i} f g h i j", "a") for i in range(30)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {i: (0, i, True) for i in range(900)} | {1_000 + i: (3, 1_000, i == 0) for i in range(900)} | {5_000 + i: (6, 5_000 + i, True) for i in range(30)}
+
+
+def test_one_document_of_each_brute_group_stays(spark):
     rows = near_rows()
     docs = documents(spark, rows)
     first = neardup.first_documents(docs)
@@ -159,10 +213,18 @@ def test_slices_of_large_buckets_lose_no_pair(spark, monkeypatch):
     far = lambda a, b: int(np.bitwise_count(wide[a].view(np.uint64) ^ wide[b].view(np.uint64)).sum())
     shared = lambda a, b: (bands[a] == bands[b]).any()
     want = {(a, b) for a in range(40) for b in range(a + 1, 40) if label[a] != label[b] and shared(a, b) and far(a, b) <= limit}
-    keys = [(int(k), n, label[n], 40) for n in range(40) for k in bands[n]]
-    opened = spark.createDataFrame(keys, "key long, node long, label long, n long")
+    held = defaultdict(list)
+    for n in range(40):
+        for k in bands[n]:
+            held[int(k)].append(n)
+    keys = []
+    for k, nodes in held.items():
+        (major, n_major), *others = Counter(label[n] for n in nodes).most_common()
+        if others:
+            keys += [(k, n, label[n], len(nodes), major, n_major) for n in nodes]
+    opened = spark.createDataFrame(keys, "key long, node long, label long, n long, major long, n_major long")
     payload = spark.createDataFrame([(n, bands[n].tolist(), bytearray(wide[n].tobytes())) for n in range(40)], "node long, bands array<long>, wide binary")
-    for size in (7, 2_048):
+    for size in (2, 7, 2_048):
         monkeypatch.setattr(neardup, "SLICE", size)
         got = [(min(r.a, r.b), max(r.a, r.b)) for r in neardup._open_pairs(opened, payload, nearest=False).collect()]
         assert len(got) == len(set(got)) and set(got) == want
