@@ -5,6 +5,8 @@ Keys are BINARY: any bytes, the empty string included, ordered as unsigned bytes
 
 from __future__ import annotations
 
+import zlib
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,6 +94,34 @@ def crc32(key: Column) -> Column:
     return F.crc32(key)
 
 
+def crc32_table() -> list[int]:
+    """What each byte does to a CRC-32."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [x >> 1 ^ 0xEDB88320 * (x & 1) for x in out]
+    return out
+
+
+def crc32_init() -> int:
+    """The register that a CRC-32 over parts starts with."""
+    return 0xFFFFFFFF
+
+
+def crc32_update(register: int, part: bytes) -> int:
+    return zlib.crc32(part, register ^ 0xFFFFFFFF) ^ 0xFFFFFFFF
+
+
+def crc32_finalize(register: int) -> int:
+    return register ^ 0xFFFFFFFF
+
+
+def varint(n: Column) -> Column:
+    """A number in base-128 varint form: seven bits a byte, the lowest first, all but the last with the high bit set."""
+    last = varint_length(n) - 1
+    part = lambda i: F.shiftright(n, (7 * i).cast("int")).bitwiseAND(127) + F.when(i < last, 128).otherwise(0)
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: F.lpad(F.hex(part(i)), 2, "0")), ""))
+
+
 def varint_length(n: Column) -> Column:
     """Bytes of a number in base-128 varint form."""
     out = F.when(n < 1 << 7, 1)

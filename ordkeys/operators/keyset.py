@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordkeys.functions import bytes as B
-from ordkeys.operators.order import running_sum_before
+from ordkeys.operators.order import rank_before, running_sum_before
 
 
 class KeySet:
     """A set of distinct keys. Immutable: what changes it returns another.
 
-    df: one BINARY column ``key``, distinct, no nulls. All methods give DataFrames or
-    key sets and run nothing, except where one number is asked for.
+    df: one BINARY column ``key``, distinct, no nulls. Methods give DataFrames or key
+    sets and run nothing, but for those that give one number, and for order statistics,
+    which write the keys once in ranges.
     """
 
     def __init__(self, df: DataFrame, *, ranked: DataFrame | None = None):
@@ -135,7 +136,7 @@ class KeySet:
     def ranked(self) -> DataFrame:
         """key, rank: keys before it."""
         if self._ranked is None:
-            self._ranked = running_sum_before(self.df.withColumn("__one", F.lit(1)), ["key"], "__one", "rank").drop("__one")
+            self._ranked = rank_before(self.df, ["key"], "rank")
         return self._ranked
 
     def rank(self, probes: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ordkeys.operators import opscript
 from ordkeys.operators.automaton import Automaton
 from ordkeys.operators.keyset import KeySet
 from ordkeys.operators.log import Layered, Log
-from ordkeys.operators.order import running_sum_before
+from ordkeys.operators.order import rank_before, ranged, running_sum_before
 
 
 def frame(spark, rows, schema):
@@ -98,11 +98,23 @@ def test_saved_set_is_read_with_pushed_ranges(spark, keys, tmp_path):
     assert "GreaterThanOrEqual(key" in plan and "LessThan(key" in plan
 
 
-def test_running_sums_over_ranges_equal_those_of_one_task(spark):
-    rows = spark.createDataFrame([(i, (i * 7919) % 1000, i % 5) for i in range(3000)], "id int, k int, v int")
-    one = running_sum_before(rows, ["k", "id"], "v", "s")
-    many = running_sum_before(rows, ["k", "id"], "v", "s", single_task_rows=10)
-    assert sorted(values(one, "id", "s")) == sorted(values(many, "id", "s"))
+def test_running_sums_over_ranges(spark):
+    data = [(i, (i * 7919) % 1000, i % 5) for i in range(3000)] + [(7, 500, 1)] * 1000  # many equal rows
+    want, total = [], 0
+    for k, i, v in sorted((k, i, v) for i, k, v in data):
+        want.append((k, i, v, total))
+        total += v
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.createDataFrame(data, "id int, k int, v int")
+        got = running_sum_before(rows, ["k", "id"], "v", "s")
+        assert sorted(values(got, "k", "id", "v", "s")) == want
+        ranks = rank_before(rows, ["k", "id"], "r")
+        assert sorted(r for (r,) in values(ranks, "r")) == list(range(4000)) and values(ranks.orderBy("r"), "k", "id") == [w[:2] for w in want]
+        sizes = [r["count"] for r in ranged(rows, ["k", "id"], "sizes").groupBy("__range").count().collect()]
+        assert len(sizes) > 1 and max(sizes) < 2_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def minimal(words, live=None):
@@ -132,10 +144,42 @@ def test_automaton_by_brute_force(spark):
         assert order == list(range(1, len(order) + 1))
 
 
-def test_automaton_keeps_dead_branches(spark):
-    words, live = {b"abc", b"abd", b"x", b"ab"}, {b"abc", b"x"}
+@pytest.mark.parametrize("seed", [1, 2])
+def test_automaton_keeps_dead_branches(spark, seed):
+    rng = random.Random(seed)
+    words = {b"abc", b"abd", b"x", b"ab"} | {bytes(rng.choice(b"ab\xff") for _ in range(rng.randrange(0, 7))) for _ in range(40)}
+    live = {b"abc", b"x"} | {w for w in words if rng.random() < 0.4}
+    words |= {b"pq", b"pr", b"sq", b"sr"}  # two dead rests in one place, the same two alive in another
+    live = live - {b"pq", b"pr"} | {b"sq", b"sr"}
     history = frame(spark, [(w, w in live) for w in words], "key binary, live boolean")
-    assert values(Automaton.of(history, live="live").stats(), "n_states", "n_final", "n_trans", "n_keys") == [(*minimal(words, live), 2)]
+    a = Automaton.of(history, live="live")
+    assert values(a.stats(), "n_states", "n_final", "n_trans", "n_keys") == [(*minimal(words, live), len(live))]
+    assert a.conflicts().count() == 0
+
+
+def test_automaton_of_a_very_long_key(spark):
+    long = b"ab" * 30_000
+    a = Automaton.of(frame(spark, [(long,), (long[:-1] + b"c",), (b"zz" + long[2:],)], "key binary"))
+    # two spines over a common tail: aba.. and zzab..; and the end that two keys share
+    assert values(a.stats(), "n_final", "n_keys") == [(1, 3)]
+    n, e = values(a.stats(), "n_states", "n_trans")[0]
+    assert n < 120_010 and e < 120_012 and a.conflicts().count() == 0
+    top = values(a.edges_of(1), "sym")
+    assert [s for (s,) in top] == [ord("a"), ord("z")]
+
+
+def test_conflicts_are_found(spark, monkeypatch):
+    from ordkeys.operators import automaton
+
+    keys = frame(spark, [(w,) for w in (b"ab", b"ac", b"bd", b"be")], "key binary")
+    assert Automaton.of(keys).conflicts().count() == 0
+    original = automaton._prefixes
+
+    def prefixes(rows):  # rests are told by their number only
+        return original(rows).withColumn("rest1", F.lit(0).cast("bigint")).withColumn("rest2", F.lit(0).cast("bigint"))
+
+    monkeypatch.setattr(automaton, "_prefixes", prefixes)
+    assert Automaton.of(keys).conflicts().count() > 0
 
 
 def test_walking_and_dot(spark):
