@@ -117,9 +117,9 @@ def crc32_finalize(register: int) -> int:
 
 def varint(n: Column) -> Column:
     """A number in base-128 varint form: seven bits a byte, the lowest first, all but the last with the high bit set."""
-    last = varint_length(n) - 1
-    part = lambda i: F.shiftright(n, (7 * i).cast("int")).bitwiseAND(127) + F.when(i < last, 128).otherwise(0)
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: F.lpad(F.hex(part(i)), 2, "0")), ""))
+    size = varint_length(n)
+    parts = [F.lpad(F.hex(F.shiftright(n, 7 * i).bitwiseAND(127) + F.when(F.lit(i + 1) < size, 128).otherwise(0)), 2, "0") for i in range(9)]
+    return F.unhex(F.array_join(F.slice(F.array(*parts), F.lit(1), size), ""))
 
 
 def varint_length(n: Column) -> Column:

@@ -24,11 +24,10 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def _query(sql: str | None = None):
+def _query(sql: str):
     def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = sql
+        _SQL[f.__name__] = sql
         return f
 
     return add
@@ -371,11 +370,6 @@ def neighbour_lcp(spark, d):
     return keys.select(_hex("key"), F.coalesce(B.common_prefix_length(F.col("key"), F.col("before")), F.lit(0)).alias("lcp"))
 
 
-@_query()
-def crc32_keys(spark, d):
-    return _names(spark, d).df.select(_hex("key"), B.crc32(F.col("key")).alias("crc32"))
-
-
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -234,3 +234,21 @@ def test_byte_functions(spark):
     assert [got[k][3] for k, *_ in values(df, "key")] == [None, None, b"ab", b""]
     assert got[b""][4] == 0xCBF29CE484222325 - (1 << 64)
     assert values(spark.range(1).select(B.crc32(F.lit("123456789").cast("binary")).alias("c"), B.varint_length(F.lit(127)).alias("a"), B.varint_length(F.lit(128)).alias("b")), "c", "a", "b") == [(0xCBF43926, 1, 2)]
+
+
+def test_checksums_over_parts_and_by_table():
+    register = B.crc32_init()
+    for part in (b"1234", b"", b"56789"):
+        register = B.crc32_update(register, part)
+    table, by_table = B.crc32_table(), 0xFFFFFFFF
+    for b in b"123456789":
+        by_table = by_table >> 8 ^ table[(by_table ^ b) & 255]
+    assert B.crc32_finalize(register) == by_table ^ 0xFFFFFFFF == 0xCBF43926
+
+
+def test_varints_of_any_length(spark):
+    from ordkeys.sources import files
+
+    numbers = [0, 1, 127, 128, 16_383, 16_384, 1 << 28, (1 << 56) - 1, 1 << 56, (1 << 63) - 1]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n bigint").select("n", B.varint(F.col("n")).alias("v"), B.varint_length(F.col("n")).alias("size"))
+    assert values(rows, "n", "v", "size") == [(n, files.varint(n), len(files.varint(n))) for n in numbers]

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from ordkeys.plans import keyset_queries
+from ordkeys import plans
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -19,10 +19,10 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", keyset_queries.oracle_sql())
+@pytest.mark.parametrize("name", plans.oracle_sql())
 def test_query_equals_sql(spark, db, name):
-    got = keyset_queries.queries()[name](spark, DATA)
-    want = db.sql(keyset_queries.oracle_sql()[name])
+    got = plans.queries()[name](spark, DATA)
+    want = db.sql(plans.oracle_sql()[name])
     names = sorted(want.columns)
     assert sorted(got.columns) == names
     rows = want.project(", ".join(f'"{n}"' for n in names)).fetchall()
