@@ -25,6 +25,7 @@ def oracle_sql():
         "op1_mix_sources": mixing.SQL,
         "op2_chat_perspectives": chat.SQL,
         "op3_warc_transactions": warc.SQL,
+        "op4_shard": sharding.SQL,
         "op9_decontaminate": decontam.SQL,
         "op10_near_duplicates": neardup.SQL,
     }

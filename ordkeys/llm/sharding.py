@@ -48,12 +48,18 @@ def grow(tree: tuple[Shard, ...]) -> tuple[Shard, ...]:
     return (*tree, Shard(f"region+{k}", "rack0", k))
 
 
-def _draw(key: list[Column], path: str, weight: float) -> Column:
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(path), *key), 11).cast("double")
-    return -F.log((bits + 0.5) / float(2**53)) / F.lit(float(weight))
+def key_of(*columns: Column) -> Column:
+    """Columns as a string; a null is no part of it."""
+    return F.concat_ws(":", *[c.cast("string") for c in columns])
 
 
-def _winner(key: list[Column], children: list[tuple[str, float, Column]]) -> Column:
+def _draw(key: Column, path: str, weight: float) -> Column:
+    """From the first 52 bits of an MD5, so that any system can draw the same."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{path}:"), key)), 1, 13), 16, 10).cast("double")
+    return -F.log((bits + 0.5) / float(2**52)) / F.lit(float(weight))
+
+
+def _winner(key: Column, children: list[tuple[str, float, Column]]) -> Column:
     """children: path, weight, what to return if that child wins."""
     if len(children) == 1:
         return children[0][2]
@@ -65,7 +71,7 @@ def _winner(key: list[Column], children: list[tuple[str, float, Column]]) -> Col
     return pick
 
 
-def shard_of(key: list[Column], tree: tuple[Shard, ...]) -> Column:
+def shard_of(key: Column, tree: tuple[Shard, ...]) -> Column:
     """The shard of a key: one weighted draw a level."""
     def grouped(leaves, name):
         out: dict[str, list[Shard]] = {}
@@ -104,7 +110,7 @@ def assign_shards(docs: DataFrame, *, n_shards: int = 8, tree: tuple[Shard, ...]
     shard nor a document repeated endlessly fills one task.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = [F.col("doc_id")]
+    key = key_of(F.col("doc_id"))
     tree = tree or topology(n_shards)
     base = materialize(
         docs.select(
@@ -116,7 +122,7 @@ def assign_shards(docs: DataFrame, *, n_shards: int = 8, tree: tuple[Shard, ...]
         ),
         "shards",
     )
-    rows = ranged(base.withColumn("hash", F.xxhash64(F.lit("slot"), "doc_id", "size", "text_crc32")), ["shard", "hash", "doc_id"], "shard-ranges")
+    rows = ranged(base.withColumn("hash", F.md5(F.concat(F.lit("slot:"), key))), ["shard", "hash", "doc_id", "size", "text_crc32"], "shard-ranges")
     upto = Window.partitionBy("shard").orderBy("range")
     offsets = (
         rows.groupBy("shard", "range").agg(F.min("row").alias("first"), F.count("*").alias("n"))
@@ -129,3 +135,26 @@ def assign_shards(docs: DataFrame, *, n_shards: int = 8, tree: tuple[Shard, ...]
 
 def op4_shard(spark, sf_dir):
     return assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _values(n_shards: int) -> str:
+    now = topology(n_shards)
+    return ", ".join(f"({g}, '{x.region}', '{x.region}/{x.rack}', '{x.region}/{x.rack}/{x.shard}', {x.shard}, {x.weight})" for g, tree in ((0, now), (1, grow(now))) for x in tree)
+
+
+# one level after the other, the least draw wins; CRC-32 by its definition, byte by byte
+_DRAW = "-ln((('0x' || substr(md5({path} || ':' || k), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) / w"
+SQL = f"""
+WITH tree(g, region, rack, path, shard, weight) AS (VALUES {_values(8)}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, '') AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
+a AS (SELECT r, k, g, arg_min(region, {_DRAW.format(path="region")}) AS region FROM d, (SELECT g, region, sum(weight) AS w FROM tree GROUP BY ALL) GROUP BY r, k, g),
+b AS (SELECT r, k, g, arg_min(rack, {_DRAW.format(path="rack")}) AS rack FROM a JOIN (SELECT g, region, rack, sum(weight) AS w FROM tree GROUP BY ALL) USING (g, region) GROUP BY r, k, g),
+c AS (SELECT r, g, arg_min(shard, {_DRAW.format(path="path")}) AS shard FROM b JOIN (SELECT g, rack, path, shard, weight AS w FROM tree) USING (g, rack) GROUP BY r, g),
+t AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS t),
+e AS (SELECT r, doc_id, k, (length(h) // 2 + 1)::BIGINT AS size,
+             xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT)), lambda x, y: xor(x >> 8, t[xor(x, y) % 256 + 1])))::BIGINT AS text_crc32
+      FROM d, t)
+SELECT doc_id, size, text_crc32, 'key' AS law, now.shard::INT AS shard,
+       row_number() OVER (PARTITION BY now.shard ORDER BY md5('slot:' || k), doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, later.shard::INT AS grown_shard
+FROM e JOIN c now ON now.r = e.r AND now.g = 0 JOIN c later ON later.r = e.r AND later.g = 1
+"""

@@ -98,7 +98,7 @@ def test_shards_slots_and_growth(spark):
 def test_shards_follow_weights_and_changes_stay_in_their_subtree(spark):
     tree = (sharding.Shard("r0", "a", 0, 1), sharding.Shard("r0", "a", 1, 3), sharding.Shard("r0", "b", 2, 2), sharding.Shard("r1", "c", 3, 4), sharding.Shard("r1", "d", 4, 2))
     changed = (tree[0], sharding.Shard("r0", "a", 1, 6), *tree[2:])
-    key = [F.col("id")]
+    key = sharding.key_of(F.col("id"))
     rows = spark.range(20_000).select(sharding.shard_of(key, tree).alias("a"), sharding.shard_of(key, changed).alias("b")).collect()
     share = Counter(r.a for r in rows)
     assert all(abs(share[x.shard] / 20_000 - x.weight / 12) < 0.02 for x in tree)
