@@ -1,8 +1,10 @@
 """Queries against their SQL, and the pipeline against what its stages must do."""
 
+import brute
 import duckdb
 import pytest
-from helpers import collected, documents
+from helpers import collected, documents, words
+from test_mixing_sharding import water_fill
 
 import corpus_pipeline
 from ordkeys.llm import registry
@@ -28,31 +30,44 @@ def test_query_equals_sql(spark, db, name):
     assert sorted(map(show, got.select(*names).collect())) == sorted(map(show, want.project(", ".join(f'"{n}"' for n in names)).fetchall()))
 
 
-def test_pipeline_stages(spark):
-    from ordkeys.llm import decontam, mixing, neardup, quality
+def test_pipeline_by_brute_force(spark):
+    """Each stage on what the one before kept, against its definition; of the classifier, the fitted weights are given."""
+    from ordkeys.llm import quality, sharding
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     labels, items = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("labels", "benchmark"))
+    items = [(r.item_id, r.text) for r in items.collect()]
     model = quality.fit(docs, quality.training_labels(labels))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    source = {r.doc_id: r.source for r in docs.collect()}
     stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+
     at = stages["quality_classifier"](spark, docs, DATA).cache()
-    good = {r.doc_id for r in quality.score_documents(docs, model).filter("predicted = 1").collect()}
-    assert {r.doc_id for r in at.collect()} == good and at.columns == docs.columns
-    kept = {r.doc_id for r in neardup.near_duplicates(at).filter("kept").collect()}
+    scores = {i: brute.quality_score(t, model.vectors, model.network) for i, t in text.items()}
+    assert all(abs(s - 0.7) > 1e-4 for s in scores.values())
+    kept = [i for i, s in sorted(scores.items()) if s >= 0.7]
+    assert ids(at) == kept and at.columns == docs.columns and 0 < len(kept) < len(text)
     at = stages["near_duplicates"](spark, at, DATA).cache()
-    assert sorted(r.doc_id for r in at.collect()) == sorted(kept) and at.columns == docs.columns
-    machine = decontam.Automaton([(r.item_id, r.text) for r in items.collect()])
-    bad = set()
-    for r in at.collect():
-        found = machine.scan(decontam.flat(r.text or "").split())
-        if len({p for *_, places in found for p in places}) >= 2 or any(end - first == 8 for first, end, _ in found):
-            bad.add(r.doc_id)
+    kept = sorted(brute.near_duplicate_ids([(i, text[i]) for i in kept]))
+    assert ids(at) == kept and at.columns == docs.columns
     at = stages["decontamination"](spark, at, DATA).cache()
-    assert {r.doc_id for r in at.collect()} == kept - bad and at.columns == docs.columns
+    clean = [i for i in kept if brute.benchmark_free(text[i], items)]
+    assert ids(at) == clean and len(clean) < len(kept) and at.columns == docs.columns
     mixed = stages["mixing"](spark, at, DATA).cache()
-    assert collected(mixed, "doc_id", "text") == collected(mixing.mixed_documents(at.repartition(3)), "doc_id", "text") and mixed.columns == docs.columns
+    sizes = {}
+    for i in clean:
+        sizes[source[i]] = sizes.get(source[i], 0) + len(words(text[i]))
+    times = brute.mixed_times([(i, text[i], source[i]) for i in clean], water_fill(sizes))
+    assert ids(mixed) == sorted(i for i, n in times.items() for _ in range(n)) and mixed.columns == docs.columns
     last = stages["sharding"](spark, mixed, DATA)
-    assert last.count() == mixed.count()
+    tree = sharding.topology(8)
+    got = [(r.doc_id, r.shard, r.grown_shard) for r in last.collect()]
+    assert sorted(got) == sorted((i, brute.shard(i, tree), brute.shard(i, sharding.grow(tree))) for i, n in times.items() for _ in range(n))
+    slots = {}
+    for r in last.collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
     assert collected(corpus_pipeline.run(spark, DATA), "doc_id", "shard", "slot") == collected(last, "doc_id", "shard", "slot")
 
 

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import brute
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -113,6 +114,15 @@ def test_classifier_learns_what_it_may(spark, labelled):
     assert good.columns == docs.columns and good.count() == sum(r.predicted for r in quality.score_documents(docs, model).collect())
 
 
+def test_scores_by_brute_force(spark, labelled):
+    docs, labels = labelled
+    model = quality.fit(docs, quality.training_labels(labels))
+    texts = [None, "", "one", "a b a b c", "é ß 日本語", junk(3)[0], junk(5)[0], " ".join(f"w{i % 5}x{i % 3}" for i in range(300))]
+    got = {r.doc_id: r.score for r in quality.score_documents(documents(spark, [(i, t, "s") for i, t in enumerate(texts)]), model).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(brute.quality_score(t, model.vectors, model.network), abs=1e-4)
+
+
 def test_held_out_labels_are_not_learnt_from(spark, labelled):
     docs, labels = labelled
     turned = labels.selectExpr("doc_id", "case when crc32(cast(cast(doc_id as string) as binary)) % 4 = 2 then 1 - quality else quality end as quality")
