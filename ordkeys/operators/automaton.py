@@ -89,8 +89,11 @@ def _prefixes(keys: DataFrame) -> DataFrame:
 class Automaton:
     """states: state_id, is_final, n_keys, access. edges: src, sym, dst. Ids from 1 by length, then bytes, of the shortest least access string; that is breadth-first order."""
 
-    def __init__(self, states: DataFrame, edges: DataFrame, conflicts: DataFrame | None = None):
-        self.states, self.edges, self._conflicts = states, edges, conflicts
+    def __init__(self, states: DataFrame, nodes: DataFrame, classes: DataFrame):
+        """nodes: the prefixes; classes: what they are merged by, numbered. Edges are derived when they are asked for."""
+        self.states = states
+        self._nodes, self._classes = nodes, classes
+        self._found: DataFrame | None = None
 
     @staticmethod
     def of(keys: DataFrame, *, live: str | None = None) -> Automaton:
@@ -115,27 +118,33 @@ class Automaton:
             F.min(F.struct("depth", "place")).alias("least"), F.count("*").alias("members"), F.min("is_final").alias("never"), F.max("is_final").alias("is_final"), F.max("n_keys").alias("n_keys")
         ).select(*_CLASS, "least.depth", "least.place", "members", "never", "is_final", "n_keys")
         numbered = rank_before(classes, ["depth", "place"], "state_id").withColumn("state_id", (F.col("state_id") + 1).cast("int"))
-        numbered = materialize(numbered, "states")
 
         access = F.substring("key", F.lit(1), F.col("depth"))
         states = numbered.join(own.select("key", "place"), "place").select("state_id", "is_final", "n_keys", access.alias("access"))
         no_keys = keys.sparkSession.range(1).select(F.lit(1).alias("state_id"), F.lit(False).alias("is_final"), F.lit(0).cast("bigint").alias("n_keys"), B.binary(b"").alias("access"))
-        states = materialize(states.unionByName(no_keys.join(nodes.limit(1), F.lit(True), "left_anti")), "states")
-
-        # where each byte leads from the members of a state
-        of_node = materialize(nodes.join(numbered.select(*_CLASS, "state_id"), _CLASS).select(*_NODE, "up1", "up2", "sym", "state_id"), "members")
-        parents = of_node.select(F.col("id1").alias("up1"), F.col("id2").alias("up2"), F.col("state_id").alias("src"))
-        led = of_node.filter("sym >= 0").join(parents, ["up1", "up2"]).groupBy("src", "sym").agg(F.min("state_id").alias("dst"), F.max("state_id").alias("most"), F.count("*").alias("times"))
-        led = materialize(led, "edges")
-        split = led.join(numbered.select(F.col("state_id").alias("src"), "members"), "src").filter("dst <> most or times <> members").select(F.col("src").alias("state_id"))
-        mixed = numbered.filter("never <> is_final").select("state_id")
-        return Automaton(states, led.select("src", "sym", "dst"), split.unionByName(mixed).distinct())
+        states = states.unionByName(no_keys.join(nodes.limit(1), F.lit(True), "left_anti"))
+        return Automaton(states, nodes, numbered)
+
+    def _led(self) -> DataFrame:
+        """src, sym, dst, most, times: where each byte leads from the members of a state, the least and the greatest, and from how many."""
+        if self._found is None:
+            numbers = self._classes.select(*_CLASS, "state_id")
+            of_node = materialize(self._nodes.join(numbers, _CLASS).select(*_NODE, "up1", "up2", "sym", "state_id"), "members")
+            parents = of_node.select(F.col("id1").alias("up1"), F.col("id2").alias("up2"), F.col("state_id").alias("src"))
+            led = of_node.filter("sym >= 0").join(parents, ["up1", "up2"]).groupBy("src", "sym")
+            self._found = materialize(led.agg(F.min("state_id").alias("dst"), F.max("state_id").alias("most"), F.count("*").alias("times")), "edges")
+        return self._found
+
+    @property
+    def edges(self) -> DataFrame:
+        return self._led().select("src", "sym", "dst")
 
     def conflicts(self) -> DataFrame:
         """state_id of states whose prefixes differ in finality or in where a byte leads: none, unless hashes collide."""
-        if self._conflicts is None:
-            raise ValueError("an automaton that wasn't built here has no prefixes to compare")
-        return self._conflicts
+        members = self._classes.select(F.col("state_id").alias("src"), "members")
+        split = self._led().join(members, "src").filter("dst <> most or times <> members").select(F.col("src").alias("state_id"))
+        mixed = self._classes.filter("never <> is_final").select("state_id")
+        return split.unionByName(mixed).distinct()
 
     def stats(self) -> DataFrame:
         """One row: n_states, n_final (states, not keys), n_trans, n_keys. Figures of an allocator or hash table have no counterpart."""

@@ -53,8 +53,9 @@ def _doc_words(spark, d) -> KeySet:
 
 
 def _postings(spark, d) -> KeySet:
-    """word, NUL, eight bytes of doc_id."""
-    return KeySet.from_binary(_words(spark, d, "documents"), B.composite(F.col("word"), B.u64_be(F.col("id"))))
+    """word, NUL, eight bytes of doc_id. The payload's length is fixed, so different pairs give different keys."""
+    pairs = _words(spark, d, "documents").filter("id is not null").distinct()
+    return KeySet(pairs.select(B.composite(F.col("word"), B.u64_be(F.col("id"))).alias("key")))
 
 
 def _probes(spark, d) -> DataFrame:
@@ -133,6 +134,14 @@ def prefix_enum(spark, d):
     return _postings(spark, d).prefix_enum(b"the").select(_hex("payload"), B.be_to_long(F.col("payload")).alias("doc_id"))
 
 
+@_query(f"WITH {_POST} SELECT upper(lpad(printf('%x', doc_id), 16, '0')) AS payload, doc_id FROM po WHERE word = encode('the')")
+def saved_prefix_enum(spark, d):
+    """From a set saved in key order: the word's range is pushed to the scan, which skips files and row groups."""
+    path = new_path(spark, "postings")
+    _postings(spark, d).save(path)
+    return KeySet.read(spark, path).prefix_enum(b"the").select(_hex("payload"), B.be_to_long(F.col("payload")).alias("doc_id"))
+
+
 @_query(f"WITH {_POST}, {_PROBES} SELECT hex(word) AS word, count(*)::BIGINT AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM po JOIN pw ON pw.key = po.word GROUP BY word")
 def prefix_enum_batch(spark, d):
     found = _postings(spark, d).prefix_enum_batch(_probes(spark, d).withColumnRenamed("key", "word"))

@@ -27,3 +27,8 @@ def test_query_equals_sql(spark, db, name):
     assert sorted(got.columns) == names
     rows = want.project(", ".join(f'"{n}"' for n in names)).fetchall()
     assert sorted(map(str, map(tuple, got.select(*names).collect()))) == sorted(map(str, rows))
+
+
+def test_ranges_are_pushed_to_saved_sets(spark):
+    plan = plans.queries()["saved_prefix_enum"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(key" in plan and "LessThan(key" in plan
