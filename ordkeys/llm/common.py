@@ -11,7 +11,7 @@ from ordkeys.functions.storage import materialize, new_path  # noqa: F401
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: A key with one of so many parts of all rows, or more, is dealt to several tasks in joins; but none with fewer rows than the least.
-HOT_PARTS, HOT_LEAST = 200, 2_000
+HOT_PARTS, HOT_LEAST = 200, 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

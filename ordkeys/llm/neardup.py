@@ -43,7 +43,7 @@ MARGIN = 5.0
 #: Samples and bits of the wider sketches, and their margin.
 WIDE_SAMPLES, WIDE_BITS, WIDE_MARGIN = 1024, 2048, 4.0
 #: Classes of a bucket that are compared at a time.
-SLICE = 1_024
+SLICE = 512
 #: Bits of the filter that keeps texts without candidates out of the shuffle; it only saves work.
 FILTER_BITS = 1 << 22
 
@@ -417,9 +417,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "classes",
     )
     labels = materialize(_connect(docs, reps), "labels")
-    classes = reps.select("node", "digest", "doc_id").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = reps.select("node", "digest", "doc_id").join(labels.hint("merge"), "node", "left")
+    classes = materialize(labelled.select("digest", "doc_id", F.coalesce("label", "node").alias("label")), "labelled-classes")
     smallest = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_class = classes.select("digest", "label").join(smallest.hint("merge"), "label").select("digest", "component_id")
+    of_class = hot_join(classes, smallest, "label", "digest").select("digest", "component_id")
     own = ["doc_id", "n_shingles"]
     grouped = hot_join(base.filter("n_shingles > 0").select(*own, "digest", "row"), of_class, "digest", "row").select(*own, "component_id")
     alone = base.filter("n_shingles = 0").select(*own, F.col("doc_id").alias("component_id"))
