@@ -206,7 +206,7 @@ def corpus_vectors(docs: DataFrame) -> np.ndarray:
     sums = docs.select("text").mapInArrow(own, "sums binary")
     sums = sums.repartition(F.spark_partition_id()).mapInArrow(summed, "sums binary")
     total = np.zeros(index.size, np.int64)
-    for row in sums.repartition(8).mapInArrow(summed, "sums binary").toLocalIterator():  # at most eight
+    for row in sums.repartition(8, F.spark_partition_id()).mapInArrow(summed, "sums binary").toLocalIterator():  # at most eight
         total += np.frombuffer(row.sums, np.int64)
     return word_vectors(total.reshape(index.shape), index)
 
