@@ -35,11 +35,11 @@ def comparable(lines):
 @pytest.mark.parametrize("script, want", recorded(), ids=lambda p: p.stem)
 def test_recorded_runs(spark, tmp_path, script, want):
     lines = script.read_text().splitlines()
-    if any(x.split()[:2] == ["load", "badcrc.pdwg"] for x in lines):  # files that a script takes for given
-        good = files.write_automaton([False, True], [[(97, 2)], []])
-        given = {"good": good, "trunc": good[:-7], "badmagic": b"XDWG" + good[4:], "badcrc": good[:-1] + bytes([good[-1] ^ 1]), "empty": b""}
-        for name, data in given.items():
-            (tmp_path / f"{name}.pdwg").write_bytes(data)
+    saved = {x.split()[1] for x in lines if x.startswith("save ")}
+    good = files.write_automaton([False, True], [[(97, 2)], []])
+    damaged = {"good": good, "trunc": good[:-7], "magic": b"X" + good[1:], "crc": good[:-1] + bytes([good[-1] ^ 1]), "empty": b""}
+    for name in {x.split()[1] for x in lines if x.startswith("load ")} - saved:  # files that a script takes for given
+        (tmp_path / name).write_bytes(next(data for kind, data in damaged.items() if kind in name))
     assert comparable(run(spark, tmp_path, lines)) == comparable(want.read_text().splitlines())
 
 
