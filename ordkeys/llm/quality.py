@@ -23,6 +23,8 @@ from ordkeys.llm.common import materialize
 
 #: Rows for words, as many for endings; dimensions of a vector; nonzero entries of an index vector.
 ROWS, DIMS, NONZERO = 8_192, 64, 6
+#: Parts in which a table of sums is handed on; a divisor of 2 * ROWS.
+SLICES = 1_024
 #: How far back a word is compared with earlier ones.
 AGAIN = 4
 #: Bytes of an ending.
@@ -177,37 +179,42 @@ def sample_of(docs: DataFrame, labels: DataFrame, *, max_sample: int = MAX_SAMPL
 def corpus_vectors(docs: DataFrame) -> np.ndarray:
     """Word vectors with the contexts of all documents.
 
-    Each task hands on one table of fixed size. Tables are summed in two levels: first
-    as many together as Spark finds fit for a task, then by eight tasks.
+    Each task hands on its table of sums in SLICES parts. Parts of the same place are
+    summed by one task, so that the driver gets each place once, however many tasks there are.
     """
     spark = docs.sparkSession
     index = index_vectors()
     shared = spark.sparkContext.broadcast(index)
 
+    def handed(places: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["slice", "sums"])
+
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shared.value.shape, np.int64)
-        seen = False
         for batch in batches:
             total += context_sums(batch.column("text").to_pylist(), shared.value)
-            seen = True
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+        parts = total.reshape(SLICES, -1)
+        found = np.flatnonzero(parts.any(axis=1))
+        if len(found):
+            yield handed(found.tolist(), list(parts[found]))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shared.value.size, np.int64)
-        seen = False
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for x in batch.column("sums"):
-                total += np.frombuffer(x.as_buffer(), np.int64)
-                seen = True
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
-
-    sums = docs.select("text").mapInArrow(own, "sums binary")
-    sums = sums.repartition(F.spark_partition_id()).mapInArrow(summed, "sums binary")
-    total = np.zeros(index.size, np.int64)
-    for row in sums.repartition(8, F.spark_partition_id()).mapInArrow(summed, "sums binary").toLocalIterator():  # at most eight
-        total += np.frombuffer(row.sums, np.int64)
+            for place, x in zip(batch.column("slice").to_pylist(), batch.column("sums"), strict=True):
+                part = np.frombuffer(x.as_buffer(), np.int64)
+                if place in total:
+                    total[place] += part
+                else:
+                    total[place] = part.copy()
+        if total:
+            yield handed(list(total), list(total.values()))
+
+    sums = docs.select("text").mapInArrow(own, "slice int, sums binary")
+    total = np.zeros((SLICES, index.size // SLICES), np.int64)
+    for row in sums.repartition("slice").mapInArrow(summed, "slice int, sums binary").collect():  # at most SLICES
+        total[row.slice] = np.frombuffer(row.sums, np.int64)
+    shared.destroy()
     return word_vectors(total.reshape(index.shape), index)
 
 
@@ -225,6 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_sample: int = MAX_SAMPLE) ->
 
     kinds = dict(sample.dtypes)
     rows = sample.mapInArrow(features, f"doc_id {kinds['doc_id']}, x binary, label {kinds['label']}").toPandas()
+    shared.destroy()
     rows = rows.sort_values(["doc_id", "x"], key=lambda c: c.map(lambda v: crc32(str(v).encode())) if c.name == "doc_id" else c)
     x = np.array([np.frombuffer(b, np.float32) for b in rows["x"]], np.float32).reshape(len(rows), 2 * DIMS + 2 + AGAIN)
     return Classifier(vectors, train(x, rows["label"].to_numpy()))

@@ -173,6 +173,32 @@ def test_word_vectors_take_all_documents_and_samples_are_bounded(spark):
         assert len(got) == min(most, 50) and len({r.doc_id for r in got}) == len(got)
 
 
+def test_the_driver_gets_one_table_of_sums(spark, monkeypatch):
+    rows = [(i, f"alpha beta w{i} gamma w{i + 1}", "s") for i in range(60)]
+    index, got, frame = quality.index_vectors(), [], type(spark.range(0))
+
+    def noted(of):
+        def run(df, *a, **b):
+            for row in of(df, *a, **b):
+                if "sums" in df.columns:
+                    got.append(len(row.sums))
+                yield row
+        return run
+
+    for name in ("collect", "toLocalIterator"):
+        monkeypatch.setattr(frame, name, noted(getattr(frame, name)))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        vectors = quality.corpus_vectors(documents(spark, rows).repartition(12))
+    finally:
+        spark.conf.unset(coalesce)
+    want = quality.word_vectors(quality.context_sums([t for _, t, _ in rows], index), index)
+    assert np.array_equal(vectors, want)
+    table = index.size * np.dtype(np.int64).itemsize
+    assert got and sum(got) <= table and max(got) <= table // 100
+
+
 def brute_rules(text):
     text = text or ""
     w = words(text)
